@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that contracts name, as a character class for Java's and DuckDB's patterns.
 SPACE = r"\x20\x09-\x0D"
@@ -18,3 +19,8 @@ def ascii_words(text: str | None) -> list[bytes]:
     ``bytes.split`` and ``bytes.lower`` know just these characters.
     """
     return text.encode("utf-8").lower().split() if text else []
+
+
+def let(value: Column, body) -> Column:
+    """``body`` over ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import let, table
 from plumbline.sources.storage import materialise
 
 MIN_CHARS = 40
@@ -83,8 +83,8 @@ def kept_text(text: Column, dropped: Column) -> Column:
         end = F.coalesce(F.get(dropped, k)["start"], F.size(all_lines))
         return F.slice(all_lines, start + 1, end - start)
 
-    whole = F.transform(F.array(lines), lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda k: piece(x, k))))
-    return F.when(dropped.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.get(whole, F.lit(0)), "\n"))
+    whole = let(lines, lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda k: piece(x, k))))
+    return F.when(dropped.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(whole, "\n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE, table
+from plumbline.llm.common import SPACE, let, table
 from plumbline.sources.storage import materialise
 
 WINDOW = 5
@@ -20,11 +20,6 @@ PRIOR_WEIGHT = (1.0, 1000.0)
 RULES = ("few_words", "repeats", "symbols", "dup_lines")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` over ``value``, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _repeat_words(words: Column) -> Column:
     """Words that stand in a window found twice or more; windows are compared by 64-bit hashes within one text."""
 
@@ -37,13 +32,13 @@ def _repeat_words(words: Column) -> Column:
 
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum"))
         step = lambda a, p: F.struct((p + WINDOW).alias("end"), (a["sum"] + p + WINDOW - F.greatest(p, a["end"])).alias("sum"))
-        return F.aggregate(_let(pairs, positions), start, step, lambda a: a["sum"])
+        return F.aggregate(let(pairs, positions), start, step, lambda a: a["sum"])
 
     def count(hashes: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered(hashes))
 
     windows = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(_let(windows, count))
+    return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(let(windows, count))
 
 
 def text_metrics(text: Column) -> Column:
@@ -52,7 +47,7 @@ def text_metrics(text: Column) -> Column:
 
     def measures(words: Column) -> Column:
         lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-        counted = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+        counted = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
@@ -61,7 +56,7 @@ def text_metrics(text: Column) -> Column:
             counted.alias("lines"),
         )
 
-    return _let(F.array_remove(F.split(whole, f"[{SPACE}]+", -1), ""), measures)
+    return let(F.array_remove(F.split(whole, f"[{SPACE}]+", -1), ""), measures)
 
 
 def document_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
