@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from plumbline.plans import metric_queries  # noqa: F401
+from plumbline.plans.book import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
