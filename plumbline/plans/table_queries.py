@@ -420,10 +420,10 @@ _AX = ("l_discount", "l_tax", "l_linenumber")
 
 
 @query("""with g as (select l_orderkey, count(*) as n_children, sum(l_quantity) as w, sum(l_quantity * l_discount) as a, sum(l_quantity * l_tax) as b, sum(l_quantity * l_linenumber) as c, sum(l_quantity * l_discount ** 2) as aa, sum(l_quantity * l_tax ** 2) as bb, sum(l_quantity * l_linenumber ** 2) as cc from lineitem group by 1)
-select l_orderkey, n_children, round(sqrt(round(greatest((aa + bb + cc - (a * a + b * b + c * c) / w) / w, 0), 9)), 5) + 0.0 as gyration, round(2 * (aa + bb + cc - (a * a + b * b + c * c) / w), 5) + 0.0 as trace from g""")
+select l_orderkey, n_children, round(sqrt(round(greatest((aa + bb + cc - (a * a + b * b + c * c) / w) / w, 0), 9)), 5) + 0.0 as gyration, round(2 * (aa + bb + cc - (a * a + b * b + c * c) / w), 8) + 0.0 as trace from g""")
 def moment_tensor(spark, d):
     m = C.moment_tensor(T(spark, d, "lineitem"), "l_orderkey", "l_quantity", _AX)
-    return tidy(m.withColumn("gyration", F.sqrt(F.round(F.col("gyration") ** 2, 9))), "l_orderkey", "n_children", "gyration trace", 5)
+    return m.select("l_orderkey", "n_children", F.round(F.sqrt(F.round(F.col("gyration") ** 2, 9)), 5).alias("gyration"), F.round("trace", 8).alias("trace"))
 
 
 @query()
