@@ -16,7 +16,7 @@ from plumbline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters worked on at once, new words per recursive query, tokens per decoding query, words that a worker remembers.
-SPAN, WORDS, TOKENS, MEMO = 2_000_000, 20_000, 1_000_000, 600_000
+SPAN, WORDS, TOKENS, MEMO = 1_000_000, 10_000, 500_000, 300_000
 
 # Token rows of all words that can still contract. In each round a word's rows join the merge table as neighbours, the pair
 # of lowest rank (leftmost among equals) becomes one row, and words without a pair leave the recursion.
@@ -63,7 +63,7 @@ class Codec:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.memo: dict[str, bytes] = {}
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         merges = pa.table(dict(zip(("left_token", "right_token", "made"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))
         vocab = pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})
         for name, rows in (("merges", merges), ("vocab", vocab)):
@@ -200,15 +200,30 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("id", "ids").mapInPandas(run, "id long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, **columns: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
-    out = decode(encode(docs, path, pattern, **columns), path, pattern)
-    return out.select(
-        F.col("id").alias("doc_id"),
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row, as from :func:`encode` and then :func:`decode`.
+
+    Both run in one worker for each task, which has one DuckDB connection, and only digests go back.
+    """
+    from hashlib import sha256
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(path, pattern)
+        for b in batches:
+            texts = [t or "" for t in b["text"]]
+            for s in _spans(texts):
+                ids = c.encode(texts[s])
+                yield pd.DataFrame(
+                    {
+                        "doc_id": b["id"].iloc[s],
+                        "n_tokens": [len(x) // 4 for x in ids],
+                        "ids_sha256": [sha256(x).hexdigest() for x in ids],
+                        "decoded_sha256": [sha256(x).hexdigest() for x in c.decode(ids)],
+                    }
+                )
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
