@@ -153,7 +153,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     n = own.count()
     limit = int((1 << 30) * min(1.0, options.train_rows / max(n, 1)))
     own = own.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < limit)
-    return docs.join(F.broadcast(own), "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
 
 
 def held_out(doc_id):
