@@ -63,6 +63,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where(F.col("docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    common = materialise(common, "common-lines")  # so that both sides of the join come by a plain shuffle, which AQE may split
     gone = ranged.join(common, ["h1", "h2"]).where("id <> keeper")
     by_doc = gone.groupBy("id", F.shiftright("slot", 32).cast("int").alias("tag")).agg(
         F.sort_array(F.collect_set(F.col("slot").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("p")
