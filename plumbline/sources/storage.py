@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Since Spark 4.1; older versions ignore it and wait for the driver's garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -21,15 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within this, a query's shuffle files are deleted when the query ends."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it again.
 
     This cuts the lineage: what stands above is computed once, and a lost executor costs
-    only the tasks that it was running. Empty frames keep their schema.
+    only the tasks that it was running. Empty frames keep their schema. The write's shuffle
+    files go as soon as it ends, where the session can do that: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out
