@@ -142,7 +142,8 @@ def matching_passages(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[in
     """``(a start, a end, b start, b end)`` of passages of ``least`` or more shingles at a Jaccard similarity of 0.8 or more.
 
     Segments that lack fewer than one shingle in nine have this similarity if the other side lacks no more; a segment for
-    which that isn't so is cut at every shingle that it lacks.
+    which that isn't so is cut at every shingle that it lacks. Where this leaves shared shingles of a side uncovered, the
+    passages between the ends of its shared runs are compared exactly, so that edits in short passages are bridged as well.
     """
     out = []
 
@@ -156,9 +157,74 @@ def matching_passages(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[in
         if not add(s, e, 8):
             for x, y in _best(shared, s, e, least, len(b)):
                 add(x, y, len(a))
+    out += [(x, y, s, e) for s, e, x, y in _edited(a, b, shared, least, [m[2:] for m in out])]
+    out += _edited(b, a, np.isin(a, b), least, [m[:2] for m in out])
     return out
 
 
+def _runs(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
+    return step[::2], step[1::2]
+
+
+def _earlier(values: np.ndarray) -> np.ndarray:
+    """The place before each at which its value last stood, or -1."""
+    order = np.argsort(values, kind="stable")
+    same = values[order][1:] == values[order][:-1]
+    out = np.full(len(values), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _edited(a: np.ndarray, b: np.ndarray, shared: np.ndarray, least: int, found: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """``(b start, b end, a start, a end)`` of similar passages whose part in b isn't within one of ``found``.
+
+    From each start of a shared run, the ends of runs are tried from the farthest that leaves enough shingles shared.
+    Distinct shingles are counted, so the similarity is exact.
+    """
+    covered = np.zeros(len(b), bool)
+    for s, e in found:
+        covered[s:e] = True
+    if not (shared & ~covered).any():
+        return []
+    out, known = [], list(found)
+    starts, ends = _runs(shared)
+    before_b, before_a = _earlier(b), _earlier(a)
+    for s in starts.tolist():
+        far = ends[ends - s >= least]
+        if not len(far):
+            break
+        new = before_b[s:] < s
+        size, both = np.cumsum(new)[far - s - 1], np.cumsum(new & shared[s:])[far - s - 1]
+        for e in far[both >= SIMILARITY * size][::-1].tolist():
+            if any(x <= s and e <= y for x, y in known):
+                break
+            if hit := _partner(a, before_a, b[s:e], least):
+                out.append((s, e, *hit))
+                known.append((s, e))
+                break
+    return out
+
+
+def _partner(a: np.ndarray, before: np.ndarray, passage: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The passage of a that is most similar to ``passage``, if it is similar enough."""
+    inside = np.isin(a, passage)
+    starts, ends = _runs(inside)
+    n = len(np.unique(passage))
+    best, at = 0.0, None
+    for s in starts.tolist():
+        far = ends[ends - s >= least]
+        if not len(far):
+            break
+        new = before[s:] < s
+        size, both = np.cumsum(new)[far - s - 1], np.cumsum(new & inside[s:])[far - s - 1]
+        alike = both / (size + n - both)
+        k = int(alike.argmax())
+        if alike[k] > best and both[k] >= SIMILARITY * (size[k] + n - both[k]):
+            best, at = alike[k], (s, int(far[k]))
+    return at
+
+
 _MATCHES = "a long, b long, spans array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>, next array<struct<key:long,c:int>>"
 
 
