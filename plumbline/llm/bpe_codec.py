@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Characters worked on at once, new words per recursive query, tokens per decoding query, words that a worker remembers.
-SPAN, WORDS, TOKENS, MEMO = 1_000_000, 10_000, 500_000, 300_000
+#: Characters worked on at once, new words per recursive query, tokens per decoding query, words and their bytes that a worker remembers.
+SPAN, WORDS, TOKENS, MEMO, HELD = 1_000_000, 10_000, 500_000, 300_000, 20_000_000
+#: The recursive query keeps each round's rows, up to half a word's squared length: the longest word in bytes for it (longer
+#: ones are contracted by a heap), and the squares of a query's words together.
+LONGEST, SQUARES = 64, 2_000_000
 
 # Token rows of all words that can still contract. In each round a word's rows join the merge table as neighbours, the pair
 # of lowest rank (leftmost among equals) becomes one row, and words without a pair leave the recursion.
@@ -62,7 +66,9 @@ class Codec:
         self.whole = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        self.made = {a << 32 | b: r for a, b, r in pairs}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         merges = pa.table(dict(zip(("left_token", "right_token", "made"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))
         vocab = pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})
@@ -83,26 +89,63 @@ class Codec:
         values, offsets = out.values.to_numpy(), out.offsets.to_numpy()
         return [values[a:z] for a, z in zip(offsets, offsets[1:])]
 
+    def _contract_long(self, word: bytes) -> np.ndarray:
+        """Tokens of one word of any length: the pair of lowest rank (leftmost among equals) first, from a heap of live pairs."""
+        token = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(token)
+        after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
+        made = self.made.get
+        heap = [(r, k) for k in range(n - 1) if (r := made(token[k] << 32 | token[k + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, k = heappop(heap)
+            z = after[k]
+            if z >= n or token[k] < 0 or made(token[k] << 32 | token[z]) != r:
+                continue  # one side has merged since
+            token[k], token[z] = r, -1
+            after[k] = y = after[z]
+            if y < n:
+                prior[y] = k
+                if (q := made(r << 32 | token[y])) is not None:
+                    heappush(heap, (q, k))
+            if (x := prior[k]) >= 0 and (q := made(token[x] << 32 | r)) is not None:
+                heappush(heap, (q, x))
+        return np.array([t for t in token if t >= 0], np.int32)
+
+    def _forget(self, words: set[str]) -> bool:
+        """Clear the memo if it can't take ``words`` as well."""
+        full = len(self.memo) + len(words) > MEMO or self.held + sum(map(len, words)) > HELD
+        if full:
+            self.memo.clear()
+            self.held = 0
+        return full
+
     def learn(self, words: set[str]) -> None:
         """Put the token ids (little-endian, four bytes each) of new words into the memo."""
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        todo, raw, size = [], [], 0
+        self._forget(words)
+        self.held += sum(map(len, words))
+        todo, raw, size, squares = [], [], 0, 0
 
         def flush() -> None:
-            nonlocal todo, raw, size
+            nonlocal todo, raw, size, squares
             if todo:
                 self.memo.update(zip(todo, (t.astype("<u4").tobytes() for t in self._contract(raw))))
-            todo, raw, size = [], [], 0
+            todo, raw, size, squares = [], [], 0, 0
 
         for w in words:
             b = w.encode("utf-8")
             if (whole := self.whole.get(b)) is not None:
                 self.memo[w] = whole.to_bytes(4, "little")
                 continue
+            if len(b) > LONGEST:
+                self.memo[w] = self._contract_long(b).astype("<u4").tobytes()
+                continue
+            if squares + len(b) ** 2 > SQUARES:
+                flush()
             todo.append(w)
             raw.append(b)
             size += len(b)
+            squares += len(b) ** 2
             if len(todo) >= WORDS or size >= 10 * WORDS:
                 flush()
         flush()
@@ -114,8 +157,7 @@ class Codec:
         if len(distinct) > MEMO // 2:  # rather text by text than beyond the memo
             return [b"".join(self._ids(p)) for p in pieces]
         new = distinct - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+        if self._forget(new):
             new = distinct
         self.learn(new)
         get = self.memo.__getitem__
@@ -124,8 +166,7 @@ class Codec:
     def _ids(self, pieces: list[str]) -> Iterator[bytes]:
         for at in range(0, len(pieces), MEMO // 4):
             part = pieces[at : at + MEMO // 4]
-            if len(self.memo) + len(part) > MEMO:
-                self.memo.clear()
+            self._forget(set(part))
             self.learn(set(part) - self.memo.keys())
             yield from map(self.memo.__getitem__, part)
 
@@ -175,7 +216,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """``id, ids``: the token ids of each text as bytes (little-endian, four for each). Null and empty texts have none.
 
     Each match of ``pattern`` is encoded by itself: a match that is a token is that token, all others go through the
-    recursive query, once for each distinct match that a worker doesn't remember. Special tokens aren't known. Repeated
+    recursive query or, when long, through a heap, once for each distinct match that a worker doesn't remember. Special tokens aren't known. Repeated
     rows and rows without an id each come out.
     """
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from plumbline.llm import substring_dedup
+from plumbline.llm import bpe_codec, substring_dedup
 
 LEAST = substring_dedup.PASSAGE - substring_dedup.SHINGLE + 1
 
@@ -63,3 +63,39 @@ def test_passages_agree_with_brute_force():
         hits += want
         assert bool(got) >= want
     assert hits > 20
+
+
+def long_pieces():
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    yield "letters", [letters(5_000)]
+    yield "more letters", [letters(50_000)]
+    yield "a rule", ["=" * 5_000 + "\n", "=" * 50_001]
+    yield "padding", ["a" + " " * 5_000 + "b"]
+    yield "unspaced", ["".join(rng.choices("日本語中文字漢語大小上下", k=4_000))]
+    yield "cased", ["".join(rng.choices("ABCxyz", k=5_000))]
+    yield "many of 60 bytes", [" ".join(letters(60) for _ in range(1_600))]
+    yield "many of 300 bytes", [" ".join(letters(300) for _ in range(400))]
+
+
+@pytest.mark.parametrize("name, texts", list(long_pieces()), ids=[k for k, _ in long_pieces()])
+def test_long_pieces_match_the_library(name, texts):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    path = public_tokenizers.path(bpe_codec.VOCABULARY)
+    lib = tiktoken.Encoding("given", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    c = bpe_codec.Codec(path, public_tokenizers.PATTERN)
+    ids = c.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [lib.encode_ordinary(t) for t in texts]
+    assert c.decode(ids) == [t.encode() for t in texts]
+
+
+def test_heap_and_query_agree():
+    import public_tokenizers
+
+    c = bpe_codec.Codec(public_tokenizers.path(bpe_codec.VOCABULARY), public_tokenizers.PATTERN)
+    rng = random.Random(12)
+    words = ["".join(rng.choices("aabcdeinst=. é日", k=rng.randrange(2, 90))).encode() for _ in range(300)]
+    assert [t.tolist() for t in c._contract(words)] == [c._contract_long(w).tolist() for w in words]
