@@ -225,7 +225,7 @@ def _partner(a: np.ndarray, before: np.ndarray, passage: np.ndarray, least: int)
     return at
 
 
-_MATCHES = "a long, b long, spans array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>, next array<struct<key:long,c:int>>"
+_MATCHES = "a long, b long, spans array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>, next array<struct<key:long,c:int,open:boolean>>"
 
 
 def _continuations(a: np.ndarray, ca: int, b: np.ndarray, cb: int, key: int) -> Iterator[tuple[int, int]]:
@@ -252,11 +252,13 @@ def _verify(pairs: DataFrame, slices: DataFrame, passage: int) -> DataFrame:
             spans, nexts = [], []
             for a, al, b, bl, places in zip(batch["ah"], batch["al"], batch["bh"], batch["bl"], batch["places"]):
                 a, b = np.asarray(a), np.asarray(b)
-                found = matching_passages(a, b, least)
+                found = matching_passages(a, b, least) if any(p["open"] for p in places) else []
                 spans.append([{"a_start": x + al, "a_end": y + al + SHINGLE - 1, "b_start": s + bl, "b_end": e + bl + SHINGLE - 1} for x, y, s, e in found])
-                lost = [p for p in places if not any(x <= p["ca"] - al < y and s <= p["cb"] - bl < e for x, y, s, e in found)]
-                new = [(k, p["cb"]) for p in lost for k, _ in _continuations(a, p["ca"] - al, b, p["cb"] - bl, p["key"])]
-                nexts.append([{"key": k, "c": c} for k, c in new])
+                new = []
+                for p in places:
+                    is_open = p["b_open"] and not any(x <= p["ca"] - al < y and s <= p["cb"] - bl < e for x, y, s, e in found)
+                    new += [{"key": k, "c": p["cb"], "open": is_open} for k, _ in _continuations(a, p["ca"] - al, b, p["cb"] - bl, p["key"])]
+                nexts.append(new)
             yield batch[["a", "b", "b_isle"]].assign(spans=spans, next=nexts)
 
     side = lambda p: slices.select(*[F.col(c).alias(d) for c, d in (("doc", p), ("isle", f"{p}_isle"), ("lo", f"{p}l"), ("hashes", f"{p}h"))])
@@ -289,9 +291,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     2. Min-hashes of one document only drop out. In each document the other windows' overlapping intervals join to islands,
        and islands on which fewer than two hash functions agree drop out.
     3. Each min-hash links its islands to one leader (the smallest document), not to each other. The linked pairs of
-       islands are compared shingle by shingle. Places that no match covers go on to another leader among those that
-       continue alike where they part from the first one, until none is left: a line that very many documents
-       share, but no passage, ends after a round or two.
+       islands are compared shingle by shingle. Places that no match covers are open and go on to another leader among
+       those that continue alike where they part from the first one, until none is left: a line that very many
+       documents share, but no passage, ends after a round or two. Covered places go on with them as long as an open
+       one continues alike, as it may share a passage with a document that the leader has matched already.
 
     Leaders come from aggregations with map-side minima, members from joins that AQE may split: a passage that a third
     of all documents share makes one link a document and no hot task.
@@ -313,22 +316,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     isles = materialise(isles, "island-spans")
     slices = materialise(_slices(own, isles), "island-hashes")
-    todo = isled.join(isles.select("doc", "isle"), ["doc", "isle"]).select("key", "doc", "isle", "c")
+    todo = materialise(isled.join(isles.select("doc", "isle"), ["doc", "isle"]).select("key", "doc", "isle", "c", F.lit(True).alias("open")), "open")
     rounds = []
     while True:
-        todo = materialise(todo, "open")
-        lead = todo.groupBy("key").agg(F.min(F.struct("doc", "isle", "c")).alias("lead"), F.max("doc").alias("last")).where("lead.doc < last")
-        lead = materialise(lead.select("key", F.col("lead.doc").alias("a"), F.col("lead.isle").alias("a_isle"), F.col("lead.c").alias("ca")), "leaders")
+        lead = todo.groupBy("key").agg(F.min(F.struct("doc", "isle", "c", "open")).alias("lead"), F.max("doc").alias("last"), F.bool_or("open").alias("any")).where("lead.doc < last and any")
+        lead = materialise(lead.select("key", F.col("lead.doc").alias("a"), F.col("lead.isle").alias("a_isle"), F.col("lead.c").alias("ca"), F.col("lead.open").alias("a_open")), "leaders")
         if lead.isEmpty():
             break
-        led = todo.join(lead, "key").where("doc <> a").select("key", "a", "a_isle", "ca", F.col("doc").alias("b"), F.col("isle").alias("b_isle"), F.col("c").alias("cb"))
-        pairs = led.groupBy("a", "a_isle", "b", "b_isle").agg(F.collect_set(F.struct("key", "ca", "cb")).alias("places"))
+        led = todo.join(lead, "key").where("doc <> a").select("key", "a", "a_isle", "ca", F.col("doc").alias("b"), F.col("isle").alias("b_isle"), F.col("c").alias("cb"), (F.col("a_open") | F.col("open")).alias("open"), F.col("open").alias("b_open"))
+        pairs = led.groupBy("a", "a_isle", "b", "b_isle").agg(F.collect_set(F.struct("key", "ca", "cb", "open", "b_open")).alias("places"))
         found = materialise(_verify(pairs, slices, passage), "verified")
         release(todo)
         release(lead)
         rounds.append(found.where(F.size("spans") > 0).select("a", "b", "spans"))
-        todo = found.select(F.col("b").alias("doc"), F.col("b_isle").alias("isle"), F.explode("next").alias("n")).select("n.key", "doc", "isle", "n.c").distinct()
-        wider, slices = slices, materialise(slices.join(found.where(F.size("next") > 0).select(F.col("b").alias("doc"), F.col("b_isle").alias("isle")), ["doc", "isle"], "left_semi"), "open-hashes")
+        going = found.select(F.col("b").alias("doc"), F.col("b_isle").alias("isle"), F.explode("next").alias("n")).groupBy("n.key", "doc", "isle", "n.c").agg(F.bool_or("n.open").alias("open"))
+        todo = materialise(going.join(going.where("open").select("key").distinct(), "key", "left_semi"), "open")
+        wider, slices = slices, materialise(slices.join(todo.select("doc", "isle").distinct(), ["doc", "isle"], "left_semi"), "open-hashes")
         release(wider)
     out = _empty(docs, "a long, b long, spans array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>")
     for r in rounds:

@@ -99,3 +99,24 @@ def test_heap_and_query_agree():
     rng = random.Random(12)
     words = ["".join(rng.choices("aabcdeinst=. é日", k=rng.randrange(2, 90))).encode() for _ in range(300)]
     assert [t.tolist() for t in c._contract(words)] == [c._contract_long(w).tolist() for w in words]
+
+
+def spans_of(spark, docs):
+    return {r["id"]: r for r in substring_dedup.substring_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()}
+
+
+def test_staggered_quotations_are_all_linked(spark):
+    rng = random.Random(21)
+    docs, want = [], {}
+    for k in range(60):
+        source = passage(rng, 70)
+        for n, (s, e) in enumerate(((0, 60), (0, 70), (20, 70))):
+            docs.append((10 * k + n, passage(rng, 60) + source[s:e] + passage(rng, 60)))
+            want[10 * k + n] = 10 * k
+    got = spans_of(spark, docs)
+    words = dict(docs)
+    hashes = {i: substring_dedup.shingle_hashes(" ".join(w)) for i, w in docs}
+    for i in want:  # all pairs by brute force
+        assert any(substring_dedup.matching_passages(hashes[i], hashes[j], LEAST) for j in range(i - i % 10, i - i % 10 + 3) if j != i)
+    assert {i: got[i]["class_id"] for i in want} == want
+    assert all(got[10 * k + 2]["spans"] and [words[10 * k + 2][s["start"] : s["end"]] for s in got[10 * k + 2]["spans"]] == [words[10 * k + 2][60:110]] for k in range(60))
