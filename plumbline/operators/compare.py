@@ -116,15 +116,51 @@ def conover(rows: DataFrame) -> DataFrame:
     return t.withColumn("p", p_t("t", "df"))
 
 
-def holm(df: DataFrame, p: str, out: str = "p_holm", keys: list[str] = []) -> DataFrame:
-    """Holm's step-down adjustment within ``keys``; null p stay null."""
+def _ranges(df: DataFrame, p: str, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` with the range ``_b`` of its p within ``keys``, cut at approximate quantiles, the group's ``_m`` and the rank ``_r``."""
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(p, F.array(*[F.lit((k + 1) / buckets) for k in range(buckets - 1)]), 1000).alias("_cuts"), F.count(p).alias("_m"))
+    j = _attach(df, cuts, keys).withColumn("_b", F.when(F.col(p).isNotNull(), F.size(F.filter("_cuts", lambda x: x < F.col(p)))))
+    sizes = j.groupBy(*keys, "_b").agg(F.count(p).alias("_n"))
+    below = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    j = _attach(j.drop("_cuts"), sizes.withColumn("_below", F.coalesce(below, F.lit(0))).drop("_n"), [*keys, "_b"])
+    return j.withColumn("_r", F.col("_below") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(p))).drop("_below")
+
+
+def _attach(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of one row for each of ``keys``, which may be null."""
+    few = few.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    on = [df[k].eqNullSafe(few[f"_key_{k}"]) for k in keys]
+    return (df.join(few, on, "left") if keys else df.crossJoin(few)).drop(*[f"_key_{k}" for k in keys])
+
+
+def _running(j: DataFrame, keys: list[str], p: str, extreme, up: bool) -> DataFrame:
+    """``j`` with ``_e``: the extreme of ``_s`` over all rows of the group up to (or from) a p, peers included."""
+    order = lambda c: F.col(c).asc() if up else F.col(c).desc()
+    ends = j.where("_b is not null").groupBy(*keys, "_b").agg(extreme("_s").alias("_x"))
+    ends = ends.withColumn("_before", extreme("_x").over(Window.partitionBy(*keys).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1))).drop("_x")
+    here = extreme("_s").over(Window.partitionBy(*keys, "_b").orderBy(order(p)))
+    pick = F.greatest if up else F.least
+    return _attach(j.withColumn("_here", here), ends, [*keys, "_b"]).withColumn("_e", pick("_here", "_before")).drop("_here", "_before")
+
+
+def holm(df: DataFrame, p: str, out: str = "p_holm", keys: list[str] = [], buckets: int = 1) -> DataFrame:
+    """Holm's step-down adjustment within ``keys``; null p stay null.
+
+    With ``buckets`` above one, a group is ranked in that many ranges, so that one of any size is dealt over many tasks.
+    """
+    if buckets > 1:
+        j = _ranges(df, p, keys, buckets).withColumn("_s", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(p)))
+        return _running(j, keys, p, F.max, True).withColumn(out, F.when(F.col(p).isNotNull(), F.col("_e"))).drop("_b", "_m", "_r", "_s", "_e")
     w = Window.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last())
     m = F.count(p).over(Window.partitionBy(*keys))
     return df.withColumn("_s", F.least(F.lit(1.0), (m - F.row_number().over(w) + 1) * F.col(p))).withColumn(out, F.when(F.col(p).isNotNull(), F.max("_s").over(w))).drop("_s")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str = "p_bh", keys: list[str] = []) -> DataFrame:
-    """Benjamini-Hochberg's step-up adjustment within ``keys``; null p stay null and don't count."""
+def benjamini_hochberg(df: DataFrame, p: str, out: str = "p_bh", keys: list[str] = [], buckets: int = 1) -> DataFrame:
+    """Benjamini-Hochberg's step-up adjustment within ``keys``; null p stay null and don't count (``buckets`` as in :func:`holm`)."""
+    if buckets > 1:
+        j = _ranges(df, p, keys, buckets).withColumn("_s", F.col("_m") * F.col(p) / F.col("_r"))
+        return _running(j, keys, p, F.min, False).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_e")))).drop("_b", "_m", "_r", "_s", "_e")
     w = Window.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last())
     back = Window.partitionBy(*keys).orderBy(F.col(p).desc_nulls_last())
     m = F.count(p).over(Window.partitionBy(*keys))

@@ -99,8 +99,9 @@ def paired_shapiro(spark, d):
 _PS = "(select o_orderpriority as grp, o_orderkey as k, case when o_orderkey % 7 = 0 then null else round(('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 7))::bigint / 268435456.0e0, 6) end as p from orders where o_orderkey < 200)"
 
 
-def _ps(spark, d):
-    o = X.table(spark, d, "orders").where("o_orderkey < 200")
+def _ps(spark, d, every=False):
+    o = X.table(spark, d, "orders")
+    o = o if every else o.where("o_orderkey < 200")
     p = F.round(X.unit(F.md5(F.col("o_orderkey").cast("string"))), 6)
     return o.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 7 != 0, p).alias("p"))
 
@@ -115,6 +116,16 @@ def holm(spark, d):
     return tidy(C.holm(_ps(spark, d), "p", keys=["grp"]), "grp k", "", "p_holm")
 
 
+@query()
+def bh_orders(spark, d):
+    return tidy(C.benjamini_hochberg(_ps(spark, d, True), "p", keys=["grp"], buckets=64), "grp k", "", "p_bh")
+
+
+@query()
+def holm_orders(spark, d):
+    return tidy(C.holm(_ps(spark, d, True), "p", keys=["grp"], buckets=64), "grp k", "", "p_holm")
+
+
 @query(twin(_ROWS + ", g as (select arm, var_samp(value) as v from x group by 1) select count(*) as arms, case when count(*) > 10 then 'bh' when max(v) / min(v) <= 9 then 'tukey' else 'conover_holm' end as route, round(0.05e0 / 3, 6) as alpha from g", "ms"))
 def posthoc_route(spark, d):
     x = rows(spark, d)
