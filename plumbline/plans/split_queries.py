@@ -158,6 +158,13 @@ def coupled_groups(spark, d):
     return connected_components(c.union(s), "a", "b")
 
 
+@query()
+def coupled_groups_all(spark, d):
+    c = T(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey") + 1000000000000).cast("long").alias("b"))
+    s = T(spark, d, "supplier").select((F.col("s_suppkey") + 2000000000000).cast("long").alias("a"), (F.col("s_nationkey") + 1000000000000).cast("long").alias("b"))
+    return connected_components(c.union(s), "a", "b")
+
+
 @query("select n, count(*) as groups from (select l_orderkey, count(*) as n from lineitem group by 1) group by n")
 def freq_of_freq(spark, d):
     return T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups"))

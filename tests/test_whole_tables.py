@@ -8,6 +8,7 @@ import pytest
 from conftest import SMALL
 
 from plumbline.operators import compare as C
+from plumbline.operators.graph import connected_components
 from plumbline.plans import catalog
 
 
@@ -50,3 +51,32 @@ def test_every_order_is_adjusted(spark):
         for g, ps in groups.items():
             want = adjusted(list(ps.values()))[at]
             assert all(got[g, k] == (None if p is None else pytest.approx(want[p], abs=2e-6)) for k, p in ps.items())
+
+
+def union_find(edges):
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(top)}
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000 + k, 1001 + k) for k in range(40)]
+    edges = [(a, b) for a, b in edges if a != b]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert len(got) == len({r["node"] for r in got}) and {r["node"]: r["component"] for r in got} == union_find(edges)
+
+
+def test_every_customer_and_supplier_has_a_component(spark):
+    read = lambda t: spark.read.parquet(f"{SMALL}/{t}.parquet").collect()
+    edges = [(r["c_custkey"], r["c_nationkey"] + 10**12) for r in read("customer")] + [(r["s_suppkey"] + 2 * 10**12, r["s_nationkey"] + 10**12) for r in read("supplier")]
+    got = catalog.QUERIES["coupled_groups_all"](spark, SMALL).collect()
+    assert {r["node"]: r["component"] for r in got} == union_find(edges) and len(got) == len({x for e in edges for x in e})
