@@ -78,6 +78,11 @@ def kendall(spark, d):
     return tidy(M.kendall(t, ["arm", "endpoint", "repeat_id", "fold"], "y_true", "y_pred"), "arm endpoint repeat_id fold", "n", "kendall")
 
 
+@query()
+def kendall_repeats(spark, d):
+    return tidy(M.kendall(X.oof(spark, d), ["arm", "endpoint", "repeat_id", "fold"], "y_true", "y_pred"), "arm endpoint repeat_id fold", "n", "kendall")
+
+
 @query(twin(f"select {_KEYS}, n, {r('st_rae mae r2')} from sc", "sc"))
 def score_folds(spark, d):
     return tidy(M.score(X.oof(spark, d), ["arm", "endpoint", "repeat_id", "fold"]), "arm endpoint repeat_id fold", "n", "st_rae mae r2")
@@ -161,6 +166,39 @@ def boot_spearman(spark, d):
     return tidy(g, "arm endpoint", "n degenerate", "mean low high")
 
 
+_FOLD = ["endpoint", "repeat_id", "fold"]
+
+
+def _all_draws(spark, d):
+    rows = X.oof(spark, d)
+    return rows, B.hash_bootstrap(rows, _FOLD, "unit_id", SAMPLES)
+
+
+def _all_scores(spark, d):
+    rows, draws = _all_draws(spark, d)
+    return B.bootstrap_scores(rows, ["arm", *_FOLD], draws, _FOLD)
+
+
+@query()
+def bootstrap_metrics_folds(spark, d):
+    return tidy(_all_scores(spark, d), "arm endpoint repeat_id fold b", "n", "mae st_rae")
+
+
+@query()
+def bootstrap_ci_folds(spark, d):
+    g = _all_scores(spark, d).groupBy("arm", *_FOLD).agg(F.count(F.lit(1)).alias("n"), F.avg("st_rae").alias("mean"), F.percentile("st_rae", F.lit(0.025)).alias("low"), F.percentile("st_rae", F.lit(0.975)).alias("high"))
+    return tidy(g, "arm endpoint repeat_id fold", "n", "mean low high")
+
+
+@query()
+def boot_spearman_folds(spark, d):
+    rows, draws = _all_draws(spark, d)
+    rows = rows.join(draws, [*_FOLD, "unit_id"]).withColumn("t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    s = R.spearman(rows, ["arm", *_FOLD, "b"], "y_true", "y_pred", "s")
+    g = s.groupBy("arm", *_FOLD).agg(F.count("s").alias("n"), F.count_if(F.col("s").isNull()).alias("degenerate"), F.avg("s").alias("mean"), F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
+    return tidy(g, "arm endpoint repeat_id fold", "n degenerate", "mean low high")
+
+
 @query(twin(f"select arm, repeat_id, fold, count(*) as n_endpoints, round(avg(st_rae), 6) + 0.0 as st_rae, round(avg(mae), 6) + 0.0 as mae, max(dup) as dup from (select *, cast(count(*) over (partition by {_KEYS}) as bigint) as dup from sc) group by 1, 2, 3", "sc"))
 def point_estimates(spark, d):
     s = M.score(X.oof(spark, d), ["arm", "endpoint", "repeat_id", "fold"])

@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from conftest import SMALL
@@ -10,6 +10,7 @@ from conftest import SMALL
 from plumbline.operators import compare as C
 from plumbline.operators.graph import connected_components
 from plumbline.plans import catalog
+from plumbline.sources import fixtures as X
 
 
 def adjusted(ps):
@@ -80,3 +81,26 @@ def test_every_customer_and_supplier_has_a_component(spark):
     edges = [(r["c_custkey"], r["c_nationkey"] + 10**12) for r in read("customer")] + [(r["s_suppkey"] + 2 * 10**12, r["s_nationkey"] + 10**12) for r in read("supplier")]
     got = catalog.QUERIES["coupled_groups_all"](spark, SMALL).collect()
     assert {r["node"]: r["component"] for r in got} == union_find(edges) and len(got) == len({x for e in edges for x in e})
+
+
+def test_every_fold_and_repeat_has_its_draws(spark):
+    groups = defaultdict(list)
+    for r in X.oof(spark, SMALL).collect():
+        groups[r["arm"], r["endpoint"], r["repeat_id"], r["fold"]].append(r)
+    assert len({k[2:] for k in groups}) == 25
+    key = lambda r: (r["arm"], r["endpoint"], r["repeat_id"], r["fold"])
+    tau = {key(r): r for r in catalog.QUERIES["kendall_repeats"](spark, SMALL).collect()}
+    scores = defaultdict(dict)
+    for r in catalog.QUERIES["bootstrap_metrics_folds"](spark, SMALL).collect():
+        scores[key(r)][r["b"]] = r
+    intervals = {key(r): r for r in catalog.QUERIES["bootstrap_ci_folds"](spark, SMALL).collect()}
+    ranks = {key(r): r for r in catalog.QUERIES["boot_spearman_folds"](spark, SMALL).collect()}
+    assert set(tau) == set(scores) == set(intervals) == set(ranks) == set(groups)
+    for k, rows in groups.items():
+        assert tau[k]["n"] == len(rows) and len(scores[k]) == 20 == intervals[k]["n"] == ranks[k]["n"] + ranks[k]["degenerate"]
+    for k in random.Random(9).sample(sorted(groups), 20):
+        rows = sorted(groups[k], key=lambda r: r["unit_id"])
+        n = len(rows)
+        for b, r in scores[k].items():
+            slots = [int(hashlib.md5(":".join(map(str, (*k[1:], b, s))).encode()).hexdigest()[:7], 16) % n for s in range(n)]
+            assert r["n"] == n and r["mae"] == pytest.approx(sum(abs(rows[i]["y_pred"] - rows[i]["y_true"]) for i in slots) / n, abs=2e-6)
