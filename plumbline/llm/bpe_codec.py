@@ -16,37 +16,32 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Characters worked on at once, new words per recursive query, tokens per decoding query, words and their bytes that a worker remembers.
-SPAN, WORDS, TOKENS, MEMO, HELD = 1_000_000, 10_000, 500_000, 300_000, 20_000_000
-#: The recursive query keeps each round's rows, up to half a word's squared length: the longest word in bytes for it (longer
-#: ones are contracted by a heap), and the squares of a query's words together.
-LONGEST, SQUARES = 64, 2_000_000
-
-# Token rows of all words that can still contract. In each round a word's rows join the merge table as neighbours, the pair
-# of lowest rank (leftmost among equals) becomes one row, and words without a pair leave the recursion.
+#: Characters worked on at once, words of a recursive query, tokens of a decoding query.
+SPAN, WORDS, TOKENS = 1_000_000, 20_000, 500_000
+#: Words and their bytes in one generation of a worker's memo, which keeps two.
+MEMO, HELD = 400_000, 20_000_000
+#: A round keeps one row for each unfinished word, and the rounds of a word grow with its length. So the squares of a query's
+#: word lengths bound its memory, and words beyond LONGEST bytes, whose time would grow with the square, go through a heap.
+SQUARES, LONGEST = 16_000_000, 4_000
+
+# The state of a word is the list of its tokens. In each round the list comes apart into token-position rows, which join the
+# merge table as neighbours; the pair of lowest rank (leftmost among equals) becomes one token. A word without a pair comes
+# out once more with no spot, which marks its last state, and leaves the recursion.
 ENCODE = """
-with recursive rows(round, word, pos, token) as (
-  select 0, word, pos, token from first_rows
+with recursive states(word, tokens, spot) as (
+  select word, tokens, 0::bigint from first_states
   union all
-  select round + 1, word, pos, case when pos = spot then made else token end
-  from (
-    select *, lag(pos) over w as left_pos
+  select s.word, case when b.spot is null then tokens else tokens[:(b.spot & 1048575) - 1] || [(b.spot >> 20)::integer] || tokens[(b.spot & 1048575) + 2:] end, b.spot
+  from (select word, tokens from states where spot is not null) s
+  left join (
+    select n.word, min((m.made::bigint << 20) | n.pos) as spot
     from (
-      select r.round, r.word, r.pos, r.token, b.made, b.spot
-      from rows r
-      join (
-        select word, (min(k) >> 40)::integer as made, (min(k) & 1099511627775)::bigint as spot
-        from (
-          select n.word, (m.made::bigint << 40) | n.pos as k
-          from (select word, pos, token, lead(token) over (partition by word order by pos) as following from rows) n
-          join merges m on m.left_token = n.token and m.right_token = n.following)
-        group by word) b on b.word = r.word)
-    window w as (partition by word order by pos))
-  where left_pos is null or left_pos <> spot
+      select word, unnest(range(1, len(tokens))) as pos, (unnest(tokens[:-2])::bigint << 32) | unnest(tokens[2:]) as pair
+      from states where spot is not null) n
+    join merges m on m.pair = n.pair
+    group by n.word) b on b.word = s.word
 )
-select word, list(token order by pos) as tokens
-from rows join (select word, max(round) as round from rows group by word) last using (word, round)
-group by word order by word
+select word, tokens from states where spot is null order by word
 """
 DECODE = """
 select doc, list(v.bytes order by pos) as parts from token_rows t join vocab v on v.token = t.token group by doc
@@ -66,31 +61,29 @@ class Codec:
         self.whole = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
-        pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.made = {a << 32 | b: r for a, b, r in pairs}
+        self.made = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        merges = pa.table(dict(zip(("left_token", "right_token", "made"), (pa.array(x, pa.int32()) for x in zip(*pairs)))))
+        merges = pa.table({"pair": pa.array(self.made.keys(), pa.int64()), "made": pa.array(self.made.values(), pa.int32())})
         vocab = pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})
         for name, rows in (("merges", merges), ("vocab", vocab)):
             self.db.register("given", rows)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Tokens of each word by the recursive query."""
-        lengths = np.fromiter(map(len, words), np.int64, count=len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(lengths) - lengths
-        rows = {"word": np.repeat(np.arange(len(words)), lengths), "pos": np.arange(len(flat)) - np.repeat(starts, lengths), "token": self.byte[flat]}
-        self.db.register("first_rows", pa.table(rows))
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (little-endian, four bytes each) by the recursive query."""
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+        tokens = pa.array(self.byte[np.frombuffer(b"".join(words), np.uint8)])
+        self.db.register("first_states", pa.table({"word": np.arange(len(words)), "tokens": pa.ListArray.from_arrays(pa.array(ends), tokens)}))
         out = self.db.sql(ENCODE).to_arrow_table()["tokens"].combine_chunks()
-        self.db.unregister("first_rows")
-        values, offsets = out.values.to_numpy(), out.offsets.to_numpy()
-        return [values[a:z] for a, z in zip(offsets, offsets[1:])]
+        self.db.unregister("first_states")
+        data, cuts = out.values.to_numpy().astype("<u4").tobytes(), (out.offsets.to_numpy() * 4).tolist()
+        return [data[a:z] for a, z in zip(cuts, cuts[1:])]
 
-    def _contract_long(self, word: bytes) -> np.ndarray:
-        """Tokens of one word of any length: the pair of lowest rank (leftmost among equals) first, from a heap of live pairs."""
+    def _contract_long(self, word: bytes) -> bytes:
+        """Ids of one word of any length: the pair of lowest rank (leftmost among equals) first, from a heap of live pairs."""
         token = self.byte[np.frombuffer(word, np.uint8)].tolist()
         n = len(token)
         after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -110,45 +103,38 @@ class Codec:
                     heappush(heap, (q, k))
             if (x := prior[k]) >= 0 and (q := made(token[x] << 32 | r)) is not None:
                 heappush(heap, (q, x))
-        return np.array([t for t in token if t >= 0], np.int32)
-
-    def _forget(self, words: set[str]) -> bool:
-        """Clear the memo if it can't take ``words`` as well."""
-        full = len(self.memo) + len(words) > MEMO or self.held + sum(map(len, words)) > HELD
-        if full:
-            self.memo.clear()
-            self.held = 0
-        return full
-
-    def learn(self, words: set[str]) -> None:
-        """Put the token ids (little-endian, four bytes each) of new words into the memo."""
-        self._forget(words)
-        self.held += sum(map(len, words))
-        todo, raw, size, squares = [], [], 0, 0
-
-        def flush() -> None:
-            nonlocal todo, raw, size, squares
-            if todo:
-                self.memo.update(zip(todo, (t.astype("<u4").tobytes() for t in self._contract(raw))))
-            todo, raw, size, squares = [], [], 0, 0
-
+        return np.array([t for t in token if t >= 0], "<u4").tobytes()
+
+    def recall(self, words: set[str]) -> None:
+        """Have the ids (little-endian, four bytes each) of all ``words`` in the memo; at most a generation of them.
+
+        A full memo becomes the older generation, from which words that come again move back: frequent words stay.
+        """
+        if len(self.memo) + len(words) > MEMO or self.held + sum(map(len, words)) > HELD:
+            self.memo, self.older, self.held = {}, self.memo, 0
+        new = words - self.memo.keys()
+        self.held += sum(map(len, new))
+        again = new & self.older.keys()
+        self.memo.update(zip(again, map(self.older.__getitem__, again)))
+        self._learn(new - again)
+
+    def _learn(self, words: set[str]) -> None:
+        todo, raw, squares = [], [], 0
         for w in words:
             b = w.encode("utf-8")
             if (whole := self.whole.get(b)) is not None:
                 self.memo[w] = whole.to_bytes(4, "little")
-                continue
-            if len(b) > LONGEST:
-                self.memo[w] = self._contract_long(b).astype("<u4").tobytes()
-                continue
-            if squares + len(b) ** 2 > SQUARES:
-                flush()
-            todo.append(w)
-            raw.append(b)
-            size += len(b)
-            squares += len(b) ** 2
-            if len(todo) >= WORDS or size >= 10 * WORDS:
-                flush()
-        flush()
+            elif len(b) > LONGEST:
+                self.memo[w] = self._contract_long(b)
+            else:
+                if todo and (squares + len(b) ** 2 > SQUARES or len(todo) >= WORDS):
+                    self.memo.update(zip(todo, self._contract(raw)))
+                    todo, raw, squares = [], [], 0
+                todo.append(w)
+                raw.append(b)
+                squares += len(b) ** 2
+        if todo:
+            self.memo.update(zip(todo, self._contract(raw)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian and four bytes each."""
@@ -156,18 +142,14 @@ class Codec:
         distinct = set().union(*pieces)
         if len(distinct) > MEMO // 2:  # rather text by text than beyond the memo
             return [b"".join(self._ids(p)) for p in pieces]
-        new = distinct - self.memo.keys()
-        if self._forget(new):
-            new = distinct
-        self.learn(new)
+        self.recall(distinct)
         get = self.memo.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
     def _ids(self, pieces: list[str]) -> Iterator[bytes]:
         for at in range(0, len(pieces), MEMO // 4):
             part = pieces[at : at + MEMO // 4]
-            self._forget(set(part))
-            self.learn(set(part) - self.memo.keys())
+            self.recall(set(part))
             yield from map(self.memo.__getitem__, part)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -216,8 +198,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """``id, ids``: the token ids of each text as bytes (little-endian, four for each). Null and empty texts have none.
 
     Each match of ``pattern`` is encoded by itself: a match that is a token is that token, all others go through the
-    recursive query or, when long, through a heap, once for each distinct match that a worker doesn't remember. Special tokens aren't known. Repeated
-    rows and rows without an id each come out.
+    recursive query or, beyond LONGEST bytes, through a heap, once for each distinct match that a worker doesn't
+    remember. Special tokens aren't known. Repeated rows and rows without an id each come out, texts of any length come
+    out whole, other columns of any name are left aside, and an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,7 +227,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row, as from :func:`encode` and then :func:`decode`.
 
-    Both run in one worker for each task, which has one DuckDB connection, and only digests go back.
+    Both run in one worker for each task, which has one DuckDB connection, and only digests go back. Null and empty texts
+    have no tokens and the digests of no bytes; repeated rows, rows without an id and very long texts come out like any
+    other; an empty table gives an empty result.
     """
     from hashlib import sha256
 
@@ -268,6 +253,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids of all documents, and of the bytes that the ids decode to."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)

@@ -98,7 +98,7 @@ def test_heap_and_query_agree():
     c = bpe_codec.Codec(public_tokenizers.path(bpe_codec.VOCABULARY), public_tokenizers.PATTERN)
     rng = random.Random(12)
     words = ["".join(rng.choices("aabcdeinst=. é日", k=rng.randrange(2, 90))).encode() for _ in range(300)]
-    assert [t.tolist() for t in c._contract(words)] == [c._contract_long(w).tolist() for w in words]
+    assert c._contract(words) == [c._contract_long(w) for w in words]
 
 
 def spans_of(spark, docs):
