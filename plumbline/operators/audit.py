@@ -124,9 +124,23 @@ def table_fingerprint(df: DataFrame, columns: list[str], buckets: int = 256) ->
     return per.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])), 256).alias("fingerprint"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of the same keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def last_rows(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row for each key: the one that is last by ``order``, and among equals by all other columns (nulls first)."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    by = F.struct(*[F.col(c) for c in dict.fromkeys([*(order or []), *others])])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), by).alias("_last")).select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of the same keys; of new rows that repeat a key the last one by ``order``.
+
+    Null keys match each other.
+    """
+    last = last_rows(new, keys, order)
+    match = reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+    return old.alias("o").join(last.select(*keys).alias("n"), match, "left_anti").unionByName(last)
 
 
 def provenance_union(sources: dict[str, DataFrame], keys: list[str]) -> DataFrame:

@@ -94,7 +94,7 @@ def fold_regressor(df: DataFrame, cols: list[str], target: str, folds: int, kind
     v = VectorAssembler(inputCols=cols, outputCol="v", handleInvalid="skip").transform(df)
     make = {"ridge": lambda: LinearRegression(featuresCol="v", labelCol=target, regParam=params.get("reg", 0.1), elasticNetParam=params.get("mix", 0.0)),
             "forest": lambda: RandomForestRegressor(featuresCol="v", labelCol=target, numTrees=params.get("trees", 10), maxDepth=params.get("depth", 4), seed=7),
-            "gbt": lambda: GBTRegressor(featuresCol="v", labelCol=target, maxIter=params.get("trees", 5), maxDepth=params.get("depth", 3), seed=7)}[kind]
+            "gbt": lambda: GBTRegressor(featuresCol="v", labelCol=target, maxIter=params.get("trees", 5), maxDepth=params.get("depth", 3), seed=7, **({"validationIndicatorCol": params["inner"]} if "inner" in params else {}))}[kind]
     out = None
     for k in range(folds):
         p = make().fit(v.where(F.col("fold") != k)).transform(v.where(F.col("fold") == k)).drop("v")
@@ -110,10 +110,21 @@ def recoverability(df: DataFrame, cols: list[str], target: str, folds: int) -> D
 
 
 def grid_landscape(df: DataFrame, cols: list[str], target: str, folds: int, regs: list[float]) -> DataFrame:
-    """``reg, fold, mae, winner`` of a ridge over a grid of penalties."""
+    """``reg, fold, inner_mae, mae, winner`` of a ridge over a grid of penalties.
+
+    The winner of a fold has the lowest error on an inner validation part (the next fold) of a model fit on the rest of the training
+    side; the held-out fold takes no part in the choice. ``mae`` is the held-out error of the model fit on the whole training side.
+    """
+    error = F.avg(F.abs(F.col("prediction") - F.col(target)))
     out = None
     for reg in regs:
-        p = fold_regressor(df, cols, target, folds, "ridge", reg=reg).groupBy("fold").agg(F.avg(F.abs(F.col("prediction") - F.col(target))).alias("mae")).select(F.lit(float(reg)).alias("reg"), "fold", "mae")
-        out = p if out is None else out.unionByName(p)
-    best = out.groupBy("fold").agg(F.min_by("reg", F.struct("mae", "reg")).alias("best"))
-    return out.join(best, "fold").select("reg", "fold", "mae", (F.col("reg") == F.col("best")).alias("winner"))
+        outer = fold_regressor(df, cols, target, folds, "ridge", reg=reg).groupBy("fold").agg(error.alias("mae"))
+        inner = None
+        for k in range(folds):
+            side = df.where(F.col("fold") != k).withColumn("fold", (F.col("fold") != (k + 1) % folds).cast("int"))
+            p = fold_regressor(side, cols, target, 1, "ridge", reg=reg).agg(error.alias("inner_mae")).select(F.lit(k).alias("fold"), "inner_mae")
+            inner = p if inner is None else inner.unionByName(p)
+        one = inner.join(outer, "fold").select(F.lit(float(reg)).alias("reg"), "fold", "inner_mae", "mae")
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy("fold").agg(F.min_by("reg", F.struct("inner_mae", "reg")).alias("best"))
+    return out.join(best, "fold").select("reg", "fold", "inner_mae", "mae", (F.col("reg") == F.col("best")).alias("winner"))

@@ -52,32 +52,55 @@ def greedy_first_step(spark, d):
     return spark.createDataFrame([(e, a, round(v, 6)) for e, vs in s.items() for a, v in zip(ARMS, vs)], "endpoint string, arm string, mae double")
 
 
+def _shared_step(prefix):
+    """SQL: for each arm the mean over the endpoints of the ST-RAE of its average with the arms of ``prefix``."""
+    of = lambda a: "(" + " + ".join([*prefix, a]) + f") / {len(prefix) + 1}"
+    soft = lambda p: f"sum(greatest({p} - conf_high, 0) + greatest(conf_low - ({p}), 0))"
+    scores = ", ".join(f"{soft(of(a))} / {soft('m')} as {a}" for a in ARMS)
+    return twin(f", m as (select endpoint, avg(y_true) as m from w group by 1), s as (select endpoint, {scores} from w join m using (endpoint) group by endpoint) select unnest([{', '.join(repr(a) for a in ARMS)}]) as arm, unnest([{', '.join(f'round(avg({a}), 6) + 0.0' for a in ARMS)}]) as st_rae from s", "w")
+
+
+def _all(spark, d):
+    return X.wide(spark, d).withColumn("all_endpoints", F.lit("all"))
+
+
+@query(_shared_step([]))
+def shared_first_step(spark, d):
+    s = I._scores(_all(spark, d), ["all_endpoints"], ARMS, {"all": [0] * 4}, "st_rae", "endpoint")
+    return spark.createDataFrame([(a, round(v, 6)) for a, v in zip(ARMS, s["all"])], "arm string, st_rae double")
+
+
+@query(_shared_step(["deadzone"]))
+def shared_second_step(spark, d):
+    s = I._scores(_all(spark, d), ["all_endpoints"], ARMS, {"all": [int(a == "deadzone") for a in ARMS]}, "st_rae", "endpoint")
+    return spark.createDataFrame([(a, round(v, 6)) for a, v in zip(ARMS, s["all"])], "arm string, st_rae double")
+
+
 @query()
 def shared_weights(spark, d):
-    return I.greedy_blend(X.wide(spark, d).withColumn("all_endpoints", F.lit("all")), ["all_endpoints"], ARMS, 12)
+    return I.greedy_blend(_all(spark, d), ["all_endpoints"], ARMS, 12, metric="st_rae", macro="endpoint")
 
 
 @query()
 def forward_set(spark, d):
-    return I.greedy_blend(X.wide(spark, d).withColumn("all_endpoints", F.lit("all")), ["all_endpoints"], ARMS, 12).where("count > 0").select("arm", "score")
+    return I.greedy_blend(_all(spark, d), ["all_endpoints"], ARMS, len(ARMS), metric="st_rae", macro="endpoint", replacement=False).where("count > 0").select("arm", "score")
 
 
 @query()
 def nested_blend(spark, d):
-    w = X.wide(spark, d).withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))))
-    return I.greedy_blend(w, ["endpoint", "held"], ARMS, 6)
+    return I.nested_blend(X.wide(spark, d), ["endpoint"], ARMS, 5, 6)
 
 
 @query()
 def bagged_selection(spark, d):
-    return I.bagged_selection(X.wide(spark, d), ["endpoint"], ARMS, 4, 0.75, 6)
+    return I.bagged_selection(X.wide(spark, d), ["endpoint"], ARMS, 4, 0.75, 6, start=2)
 
 
 @query(twin(f", wt as (select * from (values {_WV}) t(endpoint, arm, weight)), m as (select endpoint, arm, avg(y_pred) as mu, stddev_pop(y_pred) as sd from oof where fold <> 0 group by 1, 2) select repeat_id, unit_id, endpoint, round(sum(weight * (y_pred - mu) / sd), 6) + 0.0 as z from oof join m using (endpoint, arm) join wt using (endpoint, arm) where fold = 0 group by 1, 2, 3", "oof"))
 def apply_blend(spark, d):
     o = X.oof(spark, d)
     m = o.where("fold <> 0").groupBy("endpoint", "arm").agg(F.avg("y_pred").alias("mu"), F.stddev_pop("y_pred").alias("sd"))
-    j = o.where("fold = 0").join(F.broadcast(weights(spark)), ["endpoint", "arm"]).join(m, ["endpoint", "arm"])
+    j = o.where("fold = 0").join(weights(spark), ["endpoint", "arm"]).join(m, ["endpoint", "arm"])
     return tidy(j.groupBy("repeat_id", "unit_id", "endpoint").agg(F.sum(F.col("weight") * F.try_divide(F.col("y_pred") - F.col("mu"), F.col("sd"))).alias("z")), "repeat_id unit_id endpoint", "", "z")
 
 
@@ -107,7 +130,7 @@ def _stack(kind):
     return query()(run)
 
 
-stack_ridge, stack_enet, stack_nnls, stack_simplex = map(_stack, ("ridge", "enet", "nnls", "simplex"))
+stack_ridge, stack_enet, stack_nnls, stack_nnridge, stack_simplex = map(_stack, ("ridge", "enet", "nnls", "nnridge", "simplex"))
 
 
 @query(twin("select arm, count(*) as n, round(avg(x), 6) + 0.0 as mean, round(stddev_samp(x), 6) + 0.0 as sd, round(avg((x < 0)::int), 6) + 0.0 as negative, round(avg((x > 0.9)::int), 6) + 0.0 as large from (select arm, regr_slope(y_true, y_pred) as x from oof where arm <> 'naive' group by arm, endpoint, fold, repeat_id) group by arm", "oof"))

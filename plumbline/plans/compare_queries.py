@@ -96,34 +96,32 @@ def paired_shapiro(spark, d):
     return C.signed_rank(rows(spark, d))
 
 
-_PS = "(select o_orderpriority as grp, o_orderkey as k, case when o_orderkey % 7 = 0 then null else round(('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 7))::bigint / 268435456.0e0, 6) end as p from orders where o_orderkey < 200)"
+_PS = "(select o_orderpriority as grp, o_orderkey as k, case when o_orderkey % 7 = 0 then null else round(('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 7))::bigint / 268435456.0e0, 6) end as p from orders)"
 
 
-def _ps(spark, d, every=False):
-    o = X.table(spark, d, "orders")
-    o = o if every else o.where("o_orderkey < 200")
+def _ps(spark, d):
     p = F.round(X.unit(F.md5(F.col("o_orderkey").cast("string"))), 6)
-    return o.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 7 != 0, p).alias("p"))
+    return X.table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 7 != 0, p).alias("p"))
 
 
 @query(f"select grp, k, round(case when p is not null then least(1, min(s) over (partition by grp order by p desc nulls last, k desc rows unbounded preceding)) end, 6) + 0.0 as p_bh from (select *, count(p) over (partition by grp) * p / row_number() over (partition by grp order by p nulls last, k) as s from {_PS})")
 def bh(spark, d):
-    return tidy(C.benjamini_hochberg(_ps(spark, d), "p", keys=["grp"]), "grp k", "", "p_bh")
+    return tidy(C.benjamini_hochberg(_ps(spark, d), "p", keys=["grp"], buckets=64), "grp k", "", "p_bh")
 
 
 @query(f"select grp, k, round(case when p is not null then max(s) over (partition by grp order by p nulls last, k rows unbounded preceding) end, 6) + 0.0 as p_holm from (select *, least(1.0, (count(p) over (partition by grp) - row_number() over (partition by grp order by p nulls last, k) + 1) * p) as s from {_PS})")
 def holm(spark, d):
-    return tidy(C.holm(_ps(spark, d), "p", keys=["grp"]), "grp k", "", "p_holm")
+    return tidy(C.holm(_ps(spark, d), "p", keys=["grp"], buckets=64), "grp k", "", "p_holm")
 
 
 @query()
 def bh_orders(spark, d):
-    return tidy(C.benjamini_hochberg(_ps(spark, d, True), "p", keys=["grp"], buckets=64), "grp k", "", "p_bh")
+    return tidy(C.benjamini_hochberg(_ps(spark, d), "p", keys=["grp"], buckets=64), "grp k", "", "p_bh")
 
 
 @query()
 def holm_orders(spark, d):
-    return tidy(C.holm(_ps(spark, d, True), "p", keys=["grp"], buckets=64), "grp k", "", "p_holm")
+    return tidy(C.holm(_ps(spark, d), "p", keys=["grp"], buckets=64), "grp k", "", "p_holm")
 
 
 @query(twin(_ROWS + ", g as (select arm, var_samp(value) as v from x group by 1) select count(*) as arms, case when count(*) > 10 then 'bh' when max(v) / min(v) <= 9 then 'tukey' else 'conover_holm' end as route, round(0.05e0 / 3, 6) as alpha from g", "ms"))

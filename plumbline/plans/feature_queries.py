@@ -96,7 +96,14 @@ def tabular_ridge(spark, d):
 
 @query()
 def tabular_gbt(spark, d):
-    p = K.fold_regressor(_folded(spark, d), ["l_quantity", "l_discount", "p_size", "p_retailprice"], "l_extendedprice", 3, "gbt")
+    inner = _folded(spark, d).withColumn("inner", F.pmod(F.xxhash64("l_partkey"), F.lit(5)) == 0)  # stops early on these rows of the training side
+    p = K.fold_regressor(inner, ["l_quantity", "l_discount", "p_size", "p_retailprice"], "l_extendedprice", 3, "gbt", inner="inner")
+    return p.select("l_partkey", "fold", "l_extendedprice", "prediction")
+
+
+@query()
+def tabular_forest(spark, d):
+    p = K.fold_regressor(_folded(spark, d), ["l_quantity", "l_discount", "p_size", "p_retailprice"], "l_extendedprice", 3, "forest")
     return p.select("l_partkey", "fold", "l_extendedprice", "prediction")
 
 

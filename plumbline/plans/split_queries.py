@@ -149,13 +149,11 @@ def cluster_sizes(spark, d):
     return tidy(E.cluster_sizes(p, "c"), "", "clusters members smallest largest", "singleton_share middle mean")
 
 
-@query("""with recursive e as (select distinct c_custkey as a, c_nationkey + 1000000 as b from customer where c_custkey % 7 = 0 union select s_suppkey + 2000000, s_nationkey + 1000000 from supplier where s_suppkey % 3 = 0 and s_nationkey < 5),
-u as (select a, b from e union select b, a from e), reach(n, m) as (select a, a from u union select u.a, r.m from reach r join u on u.b = r.n)
-select n as node, min(m) as component from reach group by n""")
+@query("""with e as (select distinct c_custkey as a, c_nationkey + 1000000000000 as b from customer union select s_suppkey + 2000000000000, s_nationkey + 1000000000000 from supplier),
+hub as (select b, min(least(a, b)) as m from e group by b)
+select a as node, m as component from e join hub using (b) union select b, m from hub""")
 def coupled_groups(spark, d):
-    c = T(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") + 1000000).cast("long").alias("b"))
-    s = T(spark, d, "supplier").where("s_suppkey % 3 = 0 and s_nationkey < 5").select((F.col("s_suppkey") + 2000000).alias("a"), (F.col("s_nationkey") + 1000000).cast("long").alias("b"))
-    return connected_components(c.union(s), "a", "b")
+    return coupled_groups_all(spark, d)
 
 
 @query()

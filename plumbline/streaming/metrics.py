@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.audit import upsert
+from plumbline.operators.audit import last_rows, upsert
 from plumbline.sources.storage import shared_dir
 
 
@@ -20,28 +20,44 @@ def epochs(stream: DataFrame, keys: list[str], value: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("highest"), F.min(value).alias("lowest"))
 
 
-def run_upsert(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """The batch numbers whose version in ``root`` was written to its end."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _drop_version(spark: SparkSession, root: str, number: int) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{number}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def run_upsert(stream: DataFrame, keys: list[str], mode: str = "update", order: list[str] | None = None, name: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and upserts each micro-batch by ``keys`` into a table in the shared folder.
 
-    Each batch writes a new version beside the last and then names it current; a batch that is replayed after a failure writes its
-    version again, so that the outcome is the same.
+    Each batch writes a new version beside the last whole one that it finds there; a batch that is replayed after a
+    failure starts from the same version, so the outcome is the same. A stream with a ``name`` goes on where its
+    last run ended, whichever driver ran it. Of a batch's rows that repeat a key the last by ``order`` counts. The two newest versions stay.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/plumbline/stream-{uuid.uuid4().hex}"
-    versions: dict[int, str] = {}
+    root = f"{shared_dir(spark)}/plumbline/stream-{name or uuid.uuid4().hex}"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        path = f"{root}/v{batch_id}"
-        before = [b for b in versions if b < batch_id]
-        rows = batch.dropDuplicates(keys)
+        own = batch.sparkSession
+        whole = _versions(own, root)
+        before = [b for b in whole if b < batch_id]
+        rows = last_rows(batch, keys, order)
         if before:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(versions[max(before)])
-            rows = upsert(old, rows, keys)
-        rows.write.mode("overwrite").parquet(path)
-        versions[batch_id] = path
+            rows = upsert(own.read.schema(batch.schema).parquet(f"{root}/v{before[-1]}"), rows, keys)
+        rows.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        for b in before[:-1]:
+            _drop_version(own, root, b)
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(apply).start()
     q.awaitTermination()
-    if not versions:
+    whole = _versions(spark, root)
+    if not whole:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(versions[max(versions)])
+    return spark.read.schema(stream.schema).parquet(f"{root}/v{whole[-1]}")
