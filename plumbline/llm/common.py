@@ -21,6 +21,11 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8").lower().split() if text else []
 
 
+def boxed(df: DataFrame, **keys: Column) -> DataFrame:
+    """``df`` with each row in one struct ``row``, beside the given columns: names used inside can't clash with the user's."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def let(value: Column, body) -> Column:
     """``body`` over ``value``, which is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

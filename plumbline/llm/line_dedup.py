@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plumbline.llm.common import let, table
-from plumbline.sources.storage import materialise
+from plumbline.llm.common import boxed, let, table
+from plumbline.sources.storage import materialise, release
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Rows of one line hash that are streamed in one piece; a line with more is cut into runs by document.
+RUN = 1000
 _STRIP = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,10 +39,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``dropped`` lists runs of cleared bits as ``struct<start, length>`` over line numbers from 0; all other bits
     are set, and a document that is not listed keeps every line.
 
-    Hashes of the line keys (128 bits) are range-partitioned by hash and document, sorted by
-    document (largest first) and position, and written to the shared folder. The composite range spreads a line
-    that a third of all documents hold over many partitions. The first document of a hash is the one
-    that keeps its lines; counts and firsts meet in an aggregation of one row for each hash and partition.
+    Lines become hashes of their keys (128 bits). A hash with fewer rows than ``min_docs`` can't be common and stays behind
+    (counts combine before the shuffle). The others are range-partitioned by (hash, run), with a secondary sort by
+    document (largest first) and position, and streamed: the first row of a run is the occurrence that stays, and each
+    change of the document counts one. A run holds all rows of a hash, or, where there are more than RUN, those of some of
+    its documents; the firsts and counts of these few hashes' runs are settled in a table of one row for each run.
+    So a line that a third of all documents hold is spread over many partitions.
     """
     key = line_key(F.col("line"))
     lines = (
@@ -55,16 +60,26 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.shiftleft(F.col("tag").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("slot"),
         )
     )
-    order = [F.col("h1"), F.col("h2"), F.col("id").desc(), F.col("slot")]
-    ranged = materialise(lines.repartitionByRange(*order[:3]).sortWithinPartitions(*order), "line-hashes")
-    common = (
-        ranged.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper"))
-        .where(F.col("docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+    lines = materialise(lines, "line-hashes")
+    often = materialise(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs), "line-counts")
+    run = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / RUN)).cast("int")
+    order = [F.col("h1"), F.col("h2"), F.col("run"), F.col("id").desc(), F.col("slot")]
+    ranged = lines.join(often, ["h1", "h2"]).withColumn("run", run).repartitionByRange(*order[:3]).sortWithinPartitions(*order)
+    stream = Window.partitionBy("h1", "h2", "run").orderBy(F.col("id").desc(), "slot")
+    changes = F.when(F.lag("id").over(stream).eqNullSafe(F.col("id")), 0).otherwise(1)
+    streamed = (
+        ranged.withColumn("keeper", F.first("id").over(stream)).withColumn("new", changes)
+        .withColumn("docs", F.sum("new").over(stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .select("h1", "h2", "n", "run", "id", "slot", "keeper", "docs")
     )
-    common = materialise(common, "common-lines")  # so that both sides of the join come by a plain shuffle, which AQE may split
-    gone = ranged.join(common, ["h1", "h2"]).where("id <> keeper")
+    streamed = materialise(streamed, "line-runs")
+    release(lines)
+    release(often)
+    cut = streamed.where(F.col("n") > RUN)
+    runs = cut.groupBy("h1", "h2", "run").agg(F.max("keeper").alias("keeper"), F.max("docs").alias("docs"))
+    settled = materialise(runs.groupBy("h1", "h2").agg(F.max("keeper").alias("keeper"), F.sum("docs").alias("docs")), "line-firsts")
+    placed = streamed.where(F.col("n") <= RUN).select("id", "slot", "keeper", "docs").union(cut.drop("keeper", "docs").join(settled, ["h1", "h2"]).select("id", "slot", "keeper", "docs"))
+    gone = placed.where((F.col("docs") >= min_docs) & (F.col("id") != F.col("keeper")))
     by_doc = gone.groupBy("id", F.shiftright("slot", 32).cast("int").alias("tag")).agg(
         F.sort_array(F.collect_set(F.col("slot").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("p")
     )
@@ -95,20 +110,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables stay as they are. Rows that repeat an id are one document, each cut by its own bitmap. Rows
     without an id keep their lines and don't count. A line repeated within the keeper stays there each time.
     """
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(maps, (docs[id_col].cast("long") == maps["__id"]) & (_tag(docs[text_col]) == maps["__tag"]), "left")
-    return joined.select(*[kept_text(F.col(text_col), F.col("__dropped")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    done = _with_bitmaps(docs, id_col, text_col, min_chars, min_docs)
+    own = F.col("row")
+    return done.select(*[(kept_text(own[c], F.col("dropped")) if c == text_col else own[c]).alias(c) for c in docs.columns])
+
+
+def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``row, n_dropped, dropped``: each row with its bitmap, null where no line goes."""
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col("id").alias("map_id"), F.col("tag").alias("map_tag"), "n_dropped", "dropped")
+    rows = boxed(docs, id=F.col(id_col).cast("long"), tag=_tag(F.col(text_col)))
+    return rows.join(maps, (F.col("id") == F.col("map_id")) & (F.col("tag") == F.col("map_tag")), "left").select("row", "n_dropped", "dropped")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    maps = keep_bitmaps(docs).select(F.col("id").alias("map_id"), F.col("tag").alias("map_tag"), F.col("n_dropped").alias("cut"), F.col("dropped").alias("runs"))
-    joined = docs.join(maps, (F.col("doc_id") == F.col("map_id")) & (_tag(F.col("text")) == F.col("map_tag")), "left")
-    return joined.select(
-        "doc_id",
-        F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.col("cut"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(kept_text(F.col("text"), F.col("runs")), 256).alias("kept_sha256"),
+    """Lines, dropped lines and the digest of what stays, for all documents."""
+    done = _with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return done.select(
+        "row.doc_id",
+        F.size(_lines(F.col("row.text"))).cast("long").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(kept_text(F.col("row.text"), F.col("dropped")), 256).alias("kept_sha256"),
     )
 
 
