@@ -57,7 +57,7 @@ def label_matrix(df: DataFrame, unit: str, endpoint: str, value: str, endpoints:
 
 def recombine(pred: DataFrame, choice: DataFrame, keys: list[str]) -> DataFrame:
     """For each endpoint the predictions of the arm that ``choice (endpoint, arm)`` names."""
-    return pred.join(F.broadcast(choice), ["endpoint", "arm"]).select(*keys, "endpoint", "arm", "y_pred")
+    return pred.join(choice, ["endpoint", "arm"]).select(*keys, "endpoint", "arm", "y_pred")
 
 
 def top_level(levels: dict[str, float]) -> Column:

@@ -286,12 +286,12 @@ def identifiable(spark, d):
     return tidy(g.groupBy("endpoint").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.countDistinct(F.round("m", 3), F.round("s", 3)).alias("equations")), "endpoint", "equations", "low high")
 
 
-@query(twin(f", k as (select *, {rank_sql('y_true', 'arm, endpoint')} as ra, {rank_sql('y_pred', 'arm, endpoint')} as rb from oof where repeat_id = 0 and arm <> 'naive') select arm, endpoint, round(2 * sin(pi() * corr(ra, rb) / 6), 6) + 0.0 as proxy, round(2 * sin(pi() * corr(ra, rb) / 6) - corr(y_true, y_pred), 6) + 0.0 as bias from k group by 1, 2", "oof"))
+@query(twin(f", k as (select *, {rank_sql('y_true', 'arm, endpoint, repeat_id')} as ra, {rank_sql('y_pred', 'arm, endpoint, repeat_id')} as rb from oof where arm <> 'naive') select arm, endpoint, repeat_id, round(2 * sin(pi() * corr(ra, rb) / 6), 6) + 0.0 as proxy, round(2 * sin(pi() * corr(ra, rb) / 6) - corr(y_true, y_pred), 6) + 0.0 as bias from k group by 1, 2, 3", "oof"))
 def rho_proxy(spark, d):
-    o = X.oof(spark, d).where("repeat_id = 0 and arm <> 'naive'")
-    g = R.spearman(o, AE, "y_true", "y_pred", "s").join(o.groupBy(*AE).agg(F.corr("y_true", "y_pred").alias("c")), AE)
+    o, keys = X.oof(spark, d).where("arm <> 'naive'"), [*AE, "repeat_id"]
+    g = R.spearman(o, keys, "y_true", "y_pred", "s").join(o.groupBy(*keys).agg(F.corr("y_true", "y_pred").alias("c")), keys)
     proxy = 2 * F.sin(F.pi() * F.col("s") / 6)
-    return tidy(g.select(*AE, proxy.alias("proxy"), (proxy - F.col("c")).alias("bias")), "arm endpoint", "", "proxy bias")
+    return tidy(g.select(*keys, proxy.alias("proxy"), (proxy - F.col("c")).alias("bias")), "arm endpoint repeat_id", "", "proxy bias")
 
 
 @query(twin(f", v as (select endpoint, repeat_id, plain as a, 1.5 * plain - 2 as b from w), k as (select *, {rank_sql('a', 'endpoint, repeat_id')} as ra, {rank_sql('b', 'endpoint, repeat_id')} as rb from v) select endpoint, repeat_id, bool_and(ra = rb) as same_ranks, count(*) as n from k group by 1, 2", "w"))

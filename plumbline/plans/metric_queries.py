@@ -9,7 +9,7 @@ from plumbline.functions.errors import soft_error
 from plumbline.operators import metrics as M
 from plumbline.operators import ranks as R
 from plumbline.operators import resample as B
-from plumbline.plans.book import n, query, r, tidy
+from plumbline.plans.book import QUERIES, n, query, r, tidy
 from plumbline.sources import fixtures as X
 from plumbline.sources.fixtures import twin
 
@@ -65,22 +65,19 @@ def spearman(spark, d):
 
 
 _KEYS = "arm, endpoint, repeat_id, fold"
-_TAU = f""", t as (select * from oof where repeat_id = 0), pairs as (
+_TAU = f""", pairs as (
   select a.arm, a.endpoint, a.repeat_id, a.fold, sum(sign(a.y_true - b.y_true) * sign(a.y_pred - b.y_pred)) as s, count(*) filter (where a.y_true <> b.y_true) as x, count(*) filter (where a.y_pred <> b.y_pred) as y
-  from t a join t b on a.arm = b.arm and a.endpoint = b.endpoint and a.fold = b.fold and a.unit_id < b.unit_id group by all),
-sizes as (select {_KEYS}, count(*) as n from t group by all)
+  from oof a join oof b on a.arm = b.arm and a.endpoint = b.endpoint and a.repeat_id = b.repeat_id and a.fold = b.fold and a.unit_id < b.unit_id group by all),
+sizes as (select {_KEYS}, count(*) as n from oof group by all)
 select {_KEYS}, n, case when x > 0 and y > 0 then round(s / sqrt(x::double * y), 6) + 0.0 end as kendall from sizes join pairs using ({_KEYS})"""
 
 
 @query(twin(_TAU, "oof"))
 def kendall(spark, d):
-    t = X.oof(spark, d).where("repeat_id = 0")
-    return tidy(M.kendall(t, ["arm", "endpoint", "repeat_id", "fold"], "y_true", "y_pred"), "arm endpoint repeat_id fold", "n", "kendall")
+    return tidy(M.kendall(X.oof(spark, d), ["arm", "endpoint", "repeat_id", "fold"], "y_true", "y_pred"), "arm endpoint repeat_id fold", "n", "kendall")
 
 
-@query()
-def kendall_repeats(spark, d):
-    return tidy(M.kendall(X.oof(spark, d), ["arm", "endpoint", "repeat_id", "fold"], "y_true", "y_pred"), "arm endpoint repeat_id fold", "n", "kendall")
+QUERIES["kendall_repeats"] = kendall  # an earlier name
 
 
 @query(twin(f"select {_KEYS}, n, {r('st_rae mae r2')} from sc", "sc"))
@@ -111,35 +108,38 @@ def qcut(spark, d):
     return tidy(g, "endpoint", "bin n", "low high")
 
 
-_DRAWN = """, pool as (select endpoint, unit_id, row_number() over (partition by endpoint order by unit_id) - 1 as k from (select distinct endpoint, unit_id from oof where repeat_id = 0 and fold = 0)),
-size as (select endpoint, count(*) as n from pool group by endpoint),
-slots as (select endpoint, n, b, s, cast(('0x' || substr(md5(concat_ws(':', endpoint, cast(b as varchar), cast(s as varchar))), 1, 7)) as bigint) % n as k from size, lateral (select unnest(range({B})) as b) x, lateral (select unnest(range(n)) as s) y),
-drawn as (select endpoint, b, k, count(*) as times from slots group by all),
-j as (select o.*, b, times from (select * from oof where repeat_id = 0 and fold = 0) o join pool using (endpoint, unit_id) join drawn using (endpoint, k)),
-m as (select arm, endpoint, b, sum(times * y_true) / sum(times) as m from j group by all),
-bs as (select arm, endpoint, b, sum(times) as n, sum(times * abs(y_pred - y_true)) / sum(times) as mae,
+_DRAWN = """, pool as (select endpoint, repeat_id, fold, unit_id, row_number() over (partition by endpoint, repeat_id, fold order by unit_id) - 1 as k from (select distinct endpoint, repeat_id, fold, unit_id from oof)),
+size as (select endpoint, repeat_id, fold, count(*) as n from pool group by all),
+slots as (select endpoint, repeat_id, fold, n, b, s, cast(('0x' || substr(md5(concat_ws(':', endpoint, cast(repeat_id as varchar), cast(fold as varchar), cast(b as varchar), cast(s as varchar))), 1, 7)) as bigint) % n as k from size, lateral (select unnest(range({B})) as b) x, lateral (select unnest(range(n)) as s) y),
+drawn as (select endpoint, repeat_id, fold, b, k, count(*) as times from slots group by all),
+j as (select o.*, b, times from oof o join pool using (endpoint, repeat_id, fold, unit_id) join drawn using (endpoint, repeat_id, fold, k)),
+m as (select arm, endpoint, repeat_id, fold, b, sum(times * y_true) / sum(times) as m from j group by all),
+bs as (select arm, endpoint, repeat_id, fold, b, sum(times) as n, sum(times * abs(y_pred - y_true)) / sum(times) as mae,
   sum(times * (greatest(y_pred - conf_high, 0) + greatest(conf_low - y_pred, 0))) / nullif(sum(times * (greatest(m - conf_high, 0) + greatest(conf_low - m, 0))), 0) as st_rae
-  from j join m using (arm, endpoint, b) group by arm, endpoint, b)
+  from j join m using (arm, endpoint, repeat_id, fold, b) group by arm, endpoint, repeat_id, fold, b)
 """
 SAMPLES = 20
 
 
+_FOLD = ["endpoint", "repeat_id", "fold"]
+
+
 def _boot(spark, d):
-    fold = X.oof(spark, d).where("repeat_id = 0 and fold = 0")
-    return fold, B.hash_bootstrap(fold, ["endpoint"], "unit_id", SAMPLES)
+    rows = X.oof(spark, d)
+    return rows, B.hash_bootstrap(rows, _FOLD, "unit_id", SAMPLES)
 
 
 def _boot_scores(spark, d):
-    fold, draws = _boot(spark, d)
-    return B.bootstrap_scores(fold, AE, draws, ["endpoint"])
+    rows, draws = _boot(spark, d)
+    return B.bootstrap_scores(rows, ["arm", *_FOLD], draws, _FOLD)
 
 
 _BOOT = _DRAWN.replace("{B}", str(SAMPLES))
 
 
-@query(twin(_BOOT + f"select arm, endpoint, cast(b as integer) as b, {n('n')}, {r('mae st_rae')} from bs", "oof"))
+@query(twin(_BOOT + f"select arm, endpoint, repeat_id, fold, cast(b as integer) as b, {n('n')}, {r('mae st_rae')} from bs", "oof"))
 def bootstrap_metrics(spark, d):
-    return tidy(_boot_scores(spark, d), "arm endpoint b", "n", "mae st_rae")
+    return tidy(_boot_scores(spark, d), "arm endpoint repeat_id fold b", "n", "mae st_rae")
 
 
 @query()
@@ -148,57 +148,28 @@ def bootstrap_poisson(spark, d):
     return tidy(B.poisson_bootstrap(p, AE, "unit_id", F.abs(F.col("y_pred") - F.col("y_true")), 25), "arm endpoint b", "", "mean")
 
 
-@query(twin(_BOOT + "select arm, endpoint, count(*) as n, round(avg(st_rae), 6) + 0.0 as mean, round(quantile_cont(st_rae, 0.025), 6) + 0.0 as low, round(quantile_cont(st_rae, 0.975), 6) + 0.0 as high from bs group by all", "oof"))
+@query(twin(_BOOT + "select arm, endpoint, repeat_id, fold, count(*) as n, round(avg(st_rae), 6) + 0.0 as mean, round(quantile_cont(st_rae, 0.025), 6) + 0.0 as low, round(quantile_cont(st_rae, 0.975), 6) + 0.0 as high from bs group by all", "oof"))
 def bootstrap_ci(spark, d):
-    g = _boot_scores(spark, d).groupBy(*AE).agg(F.count(F.lit(1)).alias("n"), F.avg("st_rae").alias("mean"), F.percentile("st_rae", F.lit(0.025)).alias("low"), F.percentile("st_rae", F.lit(0.975)).alias("high"))
-    return tidy(g, "arm endpoint", "n", "mean low high")
-
-
-@query(twin(_BOOT.rstrip() + f""", e as (select arm, endpoint, b, y_true, y_pred, unnest(range(times)) as t from j),
-  rk as (select *, {rank_sql('y_true', 'arm, endpoint, b')} as ra, {rank_sql('y_pred', 'arm, endpoint, b')} as rb from e),
-  sp as (select arm, endpoint, b, {corr_sql('ra', 'rb')} as s from rk group by all)
-  select arm, endpoint, count(s) as n, count(*) filter (where s is null) as degenerate, round(avg(s), 6) + 0.0 as mean, round(quantile_cont(s, 0.025), 6) + 0.0 as low, round(quantile_cont(s, 0.975), 6) + 0.0 as high from sp group by all""", "oof"))
-def boot_spearman(spark, d):
-    fold, draws = _boot(spark, d)
-    rows = fold.join(draws, ["endpoint", "unit_id"]).withColumn("t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    s = R.spearman(rows, [*AE, "b"], "y_true", "y_pred", "s")
-    g = s.groupBy(*AE).agg(F.count("s").alias("n"), F.count_if(F.col("s").isNull()).alias("degenerate"), F.avg("s").alias("mean"), F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
-    return tidy(g, "arm endpoint", "n degenerate", "mean low high")
-
-
-_FOLD = ["endpoint", "repeat_id", "fold"]
-
-
-def _all_draws(spark, d):
-    rows = X.oof(spark, d)
-    return rows, B.hash_bootstrap(rows, _FOLD, "unit_id", SAMPLES)
-
-
-def _all_scores(spark, d):
-    rows, draws = _all_draws(spark, d)
-    return B.bootstrap_scores(rows, ["arm", *_FOLD], draws, _FOLD)
-
-
-@query()
-def bootstrap_metrics_folds(spark, d):
-    return tidy(_all_scores(spark, d), "arm endpoint repeat_id fold b", "n", "mae st_rae")
-
-
-@query()
-def bootstrap_ci_folds(spark, d):
-    g = _all_scores(spark, d).groupBy("arm", *_FOLD).agg(F.count(F.lit(1)).alias("n"), F.avg("st_rae").alias("mean"), F.percentile("st_rae", F.lit(0.025)).alias("low"), F.percentile("st_rae", F.lit(0.975)).alias("high"))
+    g = _boot_scores(spark, d).groupBy("arm", *_FOLD).agg(F.count(F.lit(1)).alias("n"), F.avg("st_rae").alias("mean"), F.percentile("st_rae", F.lit(0.025)).alias("low"), F.percentile("st_rae", F.lit(0.975)).alias("high"))
     return tidy(g, "arm endpoint repeat_id fold", "n", "mean low high")
 
 
-@query()
-def boot_spearman_folds(spark, d):
-    rows, draws = _all_draws(spark, d)
+@query(twin(_BOOT.rstrip() + f""", e as (select arm, endpoint, repeat_id, fold, b, y_true, y_pred, unnest(range(times)) as t from j),
+  rk as (select *, {rank_sql('y_true', 'arm, endpoint, repeat_id, fold, b')} as ra, {rank_sql('y_pred', 'arm, endpoint, repeat_id, fold, b')} as rb from e),
+  sp as (select arm, endpoint, repeat_id, fold, b, {corr_sql('ra', 'rb')} as s from rk group by all)
+  select arm, endpoint, repeat_id, fold, count(s) as n, count(*) filter (where s is null) as degenerate, round(avg(s), 6) + 0.0 as mean, round(quantile_cont(s, 0.025), 6) + 0.0 as low, round(quantile_cont(s, 0.975), 6) + 0.0 as high from sp group by all""", "oof"))
+def boot_spearman(spark, d):
+    rows, draws = _boot(spark, d)
     rows = rows.join(draws, [*_FOLD, "unit_id"]).withColumn("t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     s = R.spearman(rows, ["arm", *_FOLD, "b"], "y_true", "y_pred", "s")
     g = s.groupBy("arm", *_FOLD).agg(F.count("s").alias("n"), F.count_if(F.col("s").isNull()).alias("degenerate"), F.avg("s").alias("mean"), F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
     return tidy(g, "arm endpoint repeat_id fold", "n degenerate", "mean low high")
 
 
+for _name, _same in (("bootstrap_metrics_folds", bootstrap_metrics), ("bootstrap_ci_folds", bootstrap_ci), ("boot_spearman_folds", boot_spearman)):
+    QUERIES[_name] = _same  # earlier names of the same queries
+
+
 @query(twin(f"select arm, repeat_id, fold, count(*) as n_endpoints, round(avg(st_rae), 6) + 0.0 as st_rae, round(avg(mae), 6) + 0.0 as mae, max(dup) as dup from (select *, cast(count(*) over (partition by {_KEYS}) as bigint) as dup from sc) group by 1, 2, 3", "sc"))
 def point_estimates(spark, d):
     s = M.score(X.oof(spark, d), ["arm", "endpoint", "repeat_id", "fold"])
@@ -325,16 +296,16 @@ def resid_cov_corr(spark, d):
     return tidy(X.predictions(spark, d).groupBy(*AE).agg(R.safe_corr(e, F.col("conf_high") - F.col("conf_low")).alias("width_corr"), R.safe_corr(e, F.col("y_true")).alias("label_corr")), "arm endpoint", "", "width_corr label_corr")
 
 
-_PS = f""", t as (select arm, endpoint, y_true, abs(y_pred - y_true) as e, round(conf_high - conf_low, 6) as width from oof where repeat_id = 0),
-rk as (select arm, endpoint, {rank_sql('e', 'arm, endpoint')} as a, {rank_sql('y_true', 'arm, endpoint')} as b, {rank_sql('width', 'arm, endpoint')} as c from t),
-c as (select arm, endpoint, {corr_sql('a', 'b')} as r_ab, {corr_sql('a', 'c')} as r_ac, {corr_sql('b', 'c')} as r_bc from rk group by all)
-select arm, endpoint, {r('r_ab r_ac r_bc')}, round((r_ab - r_ac * r_bc) / sqrt((1 - r_ac ** 2) * (1 - r_bc ** 2)), 6) + 0.0 as partial from c"""
+_PS = f""", t as (select arm, endpoint, repeat_id, y_true, abs(y_pred - y_true) as e, round(conf_high - conf_low, 6) as width from oof),
+rk as (select arm, endpoint, repeat_id, {rank_sql('e', 'arm, endpoint, repeat_id')} as a, {rank_sql('y_true', 'arm, endpoint, repeat_id')} as b, {rank_sql('width', 'arm, endpoint, repeat_id')} as c from t),
+c as (select arm, endpoint, repeat_id, {corr_sql('a', 'b')} as r_ab, {corr_sql('a', 'c')} as r_ac, {corr_sql('b', 'c')} as r_bc from rk group by all)
+select arm, endpoint, repeat_id, {r('r_ab r_ac r_bc')}, round((r_ab - r_ac * r_bc) / sqrt((1 - r_ac ** 2) * (1 - r_bc ** 2)), 6) + 0.0 as partial from c"""
 
 
 @query(twin(_PS, "oof"))
 def partial_spearman(spark, d):
-    t = X.oof(spark, d).where("repeat_id = 0").select(*AE, "y_true", F.abs(F.col("y_pred") - F.col("y_true")).alias("e"), F.round(F.col("conf_high") - F.col("conf_low"), 6).alias("width"))
-    return tidy(M.partial_spearman(t, AE, "e", "y_true", "width"), "arm endpoint", "", "r_ab r_ac r_bc partial")
+    t = X.oof(spark, d).select(*AE, "repeat_id", "y_true", F.abs(F.col("y_pred") - F.col("y_true")).alias("e"), F.round(F.col("conf_high") - F.col("conf_low"), 6).alias("width"))
+    return tidy(M.partial_spearman(t, [*AE, "repeat_id"], "e", "y_true", "width"), "arm endpoint repeat_id", "", "r_ab r_ac r_bc partial")
 
 
 _GATE = "select *, st_rae < 0.95 and r2 > 0.05 as passes, mae > 3 or abs(bias) > 0.25 as alarm from (" + _P_SCORES + ")"

@@ -275,16 +275,16 @@ def data_inventory(spark, d):
     return tidy(g.crossJoin(sizes).select("endpoint", "n", (F.col("n") / F.col("u")).alias("share"), (F.col("n") / F.col("t")).alias("against_test")), "endpoint", "n", "share against_test")
 
 
-@query(twin("select unit_id, " + ", ".join(f"round(max(y_pred) filter (where arm = '{a[0]}'), 6) + 0.0 as {a[0]}" for a in X.ARMS) + " from oof where repeat_id = 0 and endpoint = 'A' group by unit_id", "oof"))
+@query(twin("select repeat_id, unit_id, endpoint, " + ", ".join(f"round(max(y_pred) filter (where arm = '{a[0]}'), 6) + 0.0 as {a[0]}" for a in X.ARMS) + " from oof group by all", "oof"))
 def assemble_columns(spark, d):
     names = [a[0] for a in X.ARMS]
-    return tidy(X.oof(spark, d).where("repeat_id = 0 and endpoint = 'A'").groupBy("unit_id").pivot("arm", names).agg(F.max("y_pred")), "unit_id", "", " ".join(names))
+    return tidy(X.oof(spark, d).groupBy("repeat_id", "unit_id", "endpoint").pivot("arm", names).agg(F.max("y_pred")), "repeat_id unit_id endpoint", "", " ".join(names))
 
 
-@query(twin("select unit_id, endpoint, arm, round(y_pred, 6) + 0.0 as y_pred from oof where repeat_id = 0 and ((endpoint = 'A' and arm = 'plain') or (endpoint = 'N' and arm = 'deadzone') or (endpoint = 'R' and arm = 'tree'))", "oof"))
+@query(twin("select repeat_id, unit_id, endpoint, arm, round(y_pred, 6) + 0.0 as y_pred from oof where ((endpoint = 'A' and arm = 'plain') or (endpoint = 'N' and arm = 'deadzone') or (endpoint = 'R' and arm = 'tree'))", "oof"))
 def recombine(spark, d):
     choice = spark.sql("select * from values ('A', 'plain'), ('N', 'deadzone'), ('R', 'tree') as t(endpoint, arm)")
-    return tidy(C.recombine(X.oof(spark, d).where("repeat_id = 0"), choice, ["unit_id"]), "unit_id endpoint arm", "", "y_pred")
+    return tidy(C.recombine(X.oof(spark, d), choice, ["repeat_id", "unit_id"]), "repeat_id unit_id endpoint arm", "", "y_pred")
 
 
 _TOP = "greatest(case when dose_a is not null then 2.286e0 end, case when dose_b is not null then 11.43e0 end, case when dose_c is not null then 57.14e0 end)"
