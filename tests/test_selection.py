@@ -191,6 +191,22 @@ def test_stream_upsert_goes_on_after_a_restart(spark, tmp_path):
     assert run() == {1: "c", 2: "new", 3: "more"}
 
 
+@pytest.mark.parametrize("samples", [3, 70])
+def test_poisson_draws(spark, samples):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import resample as B
+
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").alias("u"), (F.col("id") % 10).cast("double").alias("v"))
+    got = B.poisson_bootstrap(df, ["g"], "u", F.col("v"), samples).toPandas()
+    assert sorted(zip(got["g"], got["b"])) == [(g, b) for g in (0, 1) for b in range(samples)]
+    assert got["mean"].nunique() == 2 * samples
+    for g, d in got.groupby("g"):
+        assert d["mean"].mean() == pytest.approx(4 + g, abs=0.15) and (samples < 9 or 0.03 < d["mean"].std() < 0.1)
+    counts = spark.range(1 << 16).select(B._poisson(F.col("id")).alias("k")).groupBy("k").count().toPandas().set_index("k")["count"] / 65536
+    assert counts[0] == pytest.approx(np.exp(-1), abs=1e-4) and counts[3] == pytest.approx(np.exp(-1) / 6, abs=1e-4) and (counts.index * counts).sum() == pytest.approx(1, abs=1e-3)
+
+
 def test_components_with_a_hub_of_a_third_of_all_nodes(spark):
     edges = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(10_000, 10_400)] + [(k, 50_000) for k in range(20_000, 23_000)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
