@@ -12,6 +12,8 @@ TURN, TEXT, PART, END = "<|turn|>", "<|text|>", "<|part|>", "<|end|>"
 CONTROL = r"<\||\[/?INST\]|</?s>|<</?SYS>>"
 _CONTROL_AHEAD = r"([<\[])(?=\||/?INST\]|/?s>|</?SYS>>)"
 TRAINED_ROLE = "assistant"
+#: Pieces whose places are summed in one go, code points of a block of a formatted conversation.
+CHUNK, BLOCK = 256, 4096
 
 
 def escape(text: Column) -> Column:
@@ -24,6 +26,21 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _starts(lengths: Column) -> Column:
+    """The sum of all lengths before each: within chunks, then over the chunks, as an expression copies its array at each step."""
+
+    def sums(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(part, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
+
+    def whole(n: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / CHUNK).cast("int")), lambda k: sums(F.slice(n, k * CHUNK + 1, CHUNK)))
+        shifted = lambda p: let(sums(F.transform(p, lambda x: x["at"])), lambda o: F.zip_with(p, o["all"], lambda x, by: F.transform(x["all"], lambda at: at + by)))
+        return F.flatten(let(parts, shifted))
+
+    return let(lengths, whole)
+
+
 def _quoted(mark: str) -> str:
     return mark.replace("|", r"\|")
 
@@ -63,15 +80,9 @@ def format_conversations(
         return F.concat(F.array(plain(F.concat(F.lit(TURN), escape(role), F.lit(TEXT)))), texts, F.array(plain(F.lit(END))))
 
     def spans(p: Column) -> Column:
-        empty = F.array().cast("array<struct<start:int,length:int>>")
-        start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-        def step(a: Column, x: Column) -> Column:
-            n = F.length(x["s"])
-            span = F.array(F.struct(a["at"].alias("start"), n.alias("length")))
-            return F.struct((a["at"] + n).alias("at"), F.when(x["loss"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-        return F.aggregate(p, start, step, lambda a: a["spans"])
+        starts = _starts(F.transform(p, lambda x: F.length(x["s"])))
+        placed = F.zip_with(p, starts, lambda x, at: F.struct(x["loss"].alias("loss"), F.struct(at.alias("start"), F.length(x["s"]).alias("length")).alias("span")))
+        return F.transform(F.filter(placed, lambda x: x["loss"]), lambda x: x["span"])
 
     out = let(
         F.flatten(F.transform(let(F.col("turns"), blocks), pieces)),
@@ -92,8 +103,16 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss_mask: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(loss_mask, lambda m: unescape(F.substring(formatted, m["start"] + 1, m["length"]))), "")
+    """All text under the loss mask, unescaped, in order. A span is cut from the blocks that it touches, not from the start."""
+
+    def cut(blocks: Column) -> Column:
+        def span(m: Column) -> Column:
+            first, last = F.floor(m["start"] / BLOCK).cast("int"), F.floor((m["start"] + m["length"]) / BLOCK).cast("int")
+            return unescape(F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), m["start"] - first * BLOCK + 1, m["length"]))
+
+        return F.array_join(F.transform(loss_mask, span), "")
+
+    return let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), 0), cut)
 
 
 #: The conversation that the query adds, in whose texts another template's control strings stand.
@@ -101,6 +120,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, read back from their formatted form."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE, let, table
+from plumbline.llm.common import SPACE, boxed, let, table
 from plumbline.sources.storage import materialise
 
 WINDOW = 5
@@ -59,36 +59,35 @@ def text_metrics(text: Column) -> Column:
     return let(F.array_remove(F.split(whole, f"[{SPACE}]+", -1), ""), measures)
 
 
-def document_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct ``_q``: the measures of each text, a boolean for each rule, and ``base_failed``.
+def _with_rules(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``q`` in place of ``m``: the measures of a text, a boolean for each rule, and ``base_failed``.
 
     Null texts have no word; empty texts likewise. Nothing is sampled or cut.
     """
-    m = docs.withColumn("_m", text_metrics(F.col(text_col)))
-    few = F.col("_m.n_words") < MIN_WORDS
-    repeats = F.col("_m.n_repeat_words") * 100 > F.col("_m.n_words") * MAX_REPEAT_PERCENT
+    few = F.col("m.n_words") < MIN_WORDS
+    repeats = F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * MAX_REPEAT_PERCENT
     q = F.struct(
-        *[F.col(f"_m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")],
-        F.col("_m.lines.dup").cast("long").alias("n_dup_lines"),
+        *[F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")],
+        F.col("m.lines.dup").cast("long").alias("n_dup_lines"),
         few.alias("few_words"),
         repeats.alias("repeats"),
-        (F.col("_m.n_symbols") * 100 > F.col("_m.word_chars") * MAX_SYMBOL_PERCENT).alias("symbols"),
-        (F.col("_m.lines.dup") * 100 > F.col("_m.lines.n") * MAX_DUP_LINE_PERCENT).alias("dup_lines"),
+        (F.col("m.n_symbols") * 100 > F.col("m.word_chars") * MAX_SYMBOL_PERCENT).alias("symbols"),
+        (F.col("m.lines.dup") * 100 > F.col("m.lines.n") * MAX_DUP_LINE_PERCENT).alias("dup_lines"),
         (few | repeats).alias("base_failed"),
     )
-    return m.withColumn("_q", q).drop("_m")
+    return measured.withColumn("q", q).drop("m")
 
 
-def host_verdicts(measured: DataFrame, host_col: str = "source") -> DataFrame:
-    """``host, n_docs, rate_<rule>..., host_ok`` from documents that carry ``_q``.
+def host_verdicts(measured: DataFrame) -> DataFrame:
+    """``host, n_docs, rate_<rule>..., host_ok`` from rows of ``host`` and its documents' measures ``q``.
 
     For each rule the hosts' failure rates are shrunk to the overall rate with a beta prior, whose weight
     comes from the rates' spread by the method of moments. One row for each host reaches the last step; the
     counts combine before any shuffle, so a host with a third of all documents is no hot spot. Documents
     without a host form one host (null).
     """
-    hosts = measured.groupBy(F.col(host_col).alias("host")).agg(
-        F.count(F.lit(1)).alias("n_docs"), *[F.count_if(F.col(f"_q.{r}")).alias(f"k_{r}") for r in RULES]
+    hosts = measured.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n_docs"), *[F.count_if(F.col(f"q.{r}")).alias(f"k_{r}") for r in RULES]
     )
     hosts = materialise(hosts, "hosts")
     means = hosts.agg(*[(F.sum(f"k_{r}") / F.sum("n_docs")).alias(f"m_{r}") for r in RULES])
@@ -105,36 +104,38 @@ def host_verdicts(measured: DataFrame, host_col: str = "source") -> DataFrame:
     return rates.withColumn("host_ok", F.greatest(*[f"rate_{r}" for r in RULES]) <= MAX_HOST_RATE)
 
 
-def _judged(measured: DataFrame, verdicts: DataFrame, host_col: str) -> DataFrame:
-    v = verdicts.select(F.col("host").alias("_host"), F.col("host_ok").alias("_host_ok"))
-    joined = measured.join(v, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("_kept", ~F.col("_q.base_failed") & F.coalesce("_host_ok", F.lit(True)))
+def _judged(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``measured`` with ``kept``; only the hosts that fail are joined, so documents of hosts in good standing match no row."""
+    failing = verdicts.where(~F.col("host_ok")).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
+    joined = measured.join(failing, F.col("host").eqNullSafe(F.col("bad_host")), "left")
+    return joined.withColumn("kept", ~F.col("q.base_failed") & F.col("bad").isNull())
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: its id, measures, ``base_failed`` and ``kept``.
 
     A document stays if it passes the base rules (enough words, few repeated windows) and no rule fails on
-    too much of its host. Null ids and repeated rows pass through; an empty table gives an empty result.
+    too much of its host. Null ids and repeated rows pass through; null and empty texts have no word and fail; columns of
+    other names are left aside; an empty table gives an empty result.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    measured = materialise(document_metrics(slim).drop("text"), "quality")
-    return _judged(measured, host_verdicts(measured, "host"), "host").select("id", "_q.*", F.col("_kept").alias("kept"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text_metrics(F.col(text_col)).alias("m"))
+    measured = materialise(_with_rules(slim), "quality")
+    return _judged(measured, host_verdicts(measured)).select("id", "q.*", "kept")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with their own columns.
+    """The rows of ``docs`` that :func:`judge` keeps, with their own columns, whatever their names.
 
-    The texts are measured twice (for the hosts, then to filter), which costs less than shuffling them by id.
+    The texts are measured twice (for the hosts, then to filter), which costs less than shuffling them by id. Null and
+    empty texts go, repeated rows all stay or all go, and an empty table gives an empty result.
     """
-    own = docs.columns
-    slim = docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    measured = document_metrics(slim).drop("text")
-    verdicts = materialise(host_verdicts(measured, "host"), "host-verdicts")
-    return _judged(document_metrics(docs, text_col), verdicts, host_col).where("_kept").select(*own)
+    host, m = F.col(host_col), text_metrics(F.col(text_col))
+    verdicts = materialise(host_verdicts(_with_rules(docs.select(host.alias("host"), m.alias("m")))), "host-verdicts")
+    return _judged(_with_rules(boxed(docs, host=host, m=m)), verdicts).where("kept").select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents."""
     out = judge(table(spark, sf_dir, "documents"))
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

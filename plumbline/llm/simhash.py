@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_words, table
+from plumbline.llm.common import ascii_words, boxed, table
 from plumbline.operators.graph import connected_components
 from plumbline.sources.storage import materialise
 
@@ -153,15 +153,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` of which each near-duplicate group keeps the smallest id, with all their columns.
 
     Rows that repeat the kept id (equal or not) count as one document and all stay. Rows without an id are no
-    document's copy: they stay too.
+    document's copy: they stay too. Columns of any name pass through; an empty table gives an empty result.
     """
     near = near_duplicates(docs, id_col, text_col)
-    keep = near.where("id = component").select(F.col("id").alias("_kept")).distinct()
-    stay = docs.join(keep, docs[id_col].cast("long") == keep["_kept"], "left_semi")
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    keep = near.where("id = component").select(F.col("id").alias("kept")).distinct()
+    rows = boxed(docs, id=F.col(id_col).cast("long"))
+    return rows.join(keep, F.col("id") == F.col("kept"), "left_semi").union(rows.where("id is null")).select("row.*")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
     near = near_duplicates(table(spark, sf_dir, "documents"))
     return near.select(
         F.col("id").alias("doc_id"),

@@ -101,21 +101,55 @@ def test_mixing_deviates_by_less_than_a_block(spark):
     assert Counter((r["doc_id"], r["source"]) for r in out) == Counter((r["doc_id"], r["source"]) for r in df.collect())
     assert len({(r["mix_slot"], r["mix_offset"]) for r in out}) == len(out)
     source = {r["mix_slot"]: r["source"] for r in out}
-    quota = source_mixing.quotas(weights, 20)
-    until = min(-(-(n // 10) * 20 // quota[s]) for s, n in sizes.items()) - 1
+    share = {"a": 10, "b": 6, "c": 3, None: 1}
+    until = min(-(-(n // 10) * 20 // share[s]) for s, n in sizes.items()) - 1
     seen = Counter()
     for slot in range(until):
         seen[source[slot]] += 1
-        assert all(abs(seen[s] - (slot + 1) * q / 20) < 1 for s, q in quota.items())
+        assert all(abs(seen[s] - (slot + 1) * q / 20) < 1 for s, q in share.items())
     assert source_mixing.mix(df.limit(0)).count() == 0
     assert source_mixing.mixed_stream(df).columns == df.columns
 
 
-@pytest.mark.parametrize("quota", [{"a": 1}, {"a": 7, "b": 5, "c": 1}, {str(i): 3 for i in range(9)}])
-def test_schedule_meets_all_windows(quota):
-    period = sum(quota.values())
-    for s, k, slot in source_mixing.schedule(quota):
-        assert k * period // quota[s] <= slot < -(-(k + 1) * period // quota[s])
+def brute_schedule(share, slots):
+    """Earliest deadline first over all sources at each slot, with fractions."""
+    total, done, out = sum(share.values()), Counter(), []
+    for t in range(slots):
+        open_ = [(-(-(done[s] + 1) * total // n), i, s) for i, (s, n) in enumerate(share.items()) if done[s] * total // n <= t]
+        s = min(open_)[2]
+        done[s] += 1
+        out.append(s)
+    return out
+
+
+SKEWED = [
+    {"a": 1.0}, {"a": 7, "b": 5, "c": 1}, {str(i): 3 for i in range(9)}, {"big": 0.5, **{str(i): 0.025 for i in range(20)}}, {"big": 0.5, **{str(i): 0.5 / 300 for i in range(300)}},
+    {str(i): 1 / (i + 1) for i in range(12)}, {str(i): float(i + 1) ** 0.5 for i in range(40)}, {"rare": 1e-5, "most": 1 - 1e-5},
+]
+
+
+@pytest.mark.parametrize("weights", SKEWED, ids=range(len(SKEWED)))
+def test_schedule_meets_the_weights(weights):
+    share = source_mixing.shares(weights)
+    slots = source_mixing.schedule(weights)
+    total, given = sum(share.values()), sum(weights.values())
+    assert all(abs(n / total - weights[s] / given) < 1e-5 for s, n in share.items())
+    assert slots[:3000] == brute_schedule(share, len(slots))[:3000] if len(slots) <= 3000 else slots[:500] == brute_schedule(share, 500)
+    seen = Counter()
+    for t, s in enumerate(slots):
+        seen[s] += 1
+        if t % 7 == 0 or t < 500:
+            assert all(abs(seen[x] * total - (t + 1) * n) < total for x, n in share.items())
+    if len(slots) == total:
+        assert seen == share  # every further cycle is alike and adds no deviation
+    assert set(slots) == set(weights)
+
+
+def test_mixing_is_repeatable_with_repeated_ids(spark):
+    rows = [(k % 3, f"text {k}", "s") for k in range(300)] + [(None, f"n {k}", None) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(map(repr, source_mixing.mix(x, block_docs=7).collect())) for x in (df, df.repartition(5)))
+    assert a == b and len(a) == 600
 
 
 def test_ogg_round_trip_and_damage(spark, awkward):
