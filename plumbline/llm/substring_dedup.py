@@ -1,12 +1,13 @@
-"""Substring dedup with compact windows: Cartesian trees over min-hashes, interval islands, exact verification."""
+"""Substring dedup with compact windows: Cartesian trees over min-hashes, interval joins across hash functions, verification."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,9 +19,14 @@ SHINGLE = 5
 #: Shortest passage in words; as shingles, the shortest subsequence that a compact window stands for.
 PASSAGE = 50
 SIMILARITY = 0.8
-#: Hash functions, and how many must agree on overlapping intervals of a document. Two of six do so with a probability of
-#: 0.998 for a passage at a similarity of 0.8.
-HASHES, NEEDED = 6, 2
+#: Hash functions, of which two must agree: a passage at a similarity of 0.8 has this with a probability of 0.998.
+HASHES = 6
+#: Runs of shared shingles that a chain may join, so edits that a passage of one chain may have; longer ones come in parts.
+CHAIN = 64
+#: Shingles on each side of an open place that are searched for moved or repeated parts, in shortest passages.
+AROUND = 4
+#: Words of a bin in the join of a document's intervals.
+BIN = 64
 #: Shingles whose windows are built together; a longer document goes alone.
 CHUNK = 200_000
 _SEEDS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(HASHES))
@@ -50,21 +56,42 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
+def _reach(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """``op`` (minimum or maximum) over each ``width`` values in a row, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = op(values[:-step], values[step:])
+        done += step
+    return values
+
+
+def _lows(values: np.ndarray, least: int) -> np.ndarray:
+    """Places that hold the minimum of some ``least`` values in a row: only these are centres, or part the ranges of others."""
+    if len(values) < least:
+        return np.empty(0, np.int64)
+    pad = np.zeros(least - 1, np.uint64)
+    highest = _reach(np.concatenate([pad, _reach(values, least, np.minimum), pad]), least, np.maximum)
+    return np.flatnonzero(highest == values)
+
+
 def _compact(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The compact windows of disjoint ascending ranges of ``values``: left ends, centres, right ends, by tree level."""
-    values = np.append(values, np.uint64(0))  # a place for the last range's end
+    where = _lows(values, least)
+    values = np.append(values[where], np.uint64(0))  # a place for the last range's end
     out = [np.empty((3, 0), np.int64)]
     while True:
         keep = hi - lo >= least
         lo, hi = lo[keep], hi[keep]
         if not len(lo):
             return tuple(np.concatenate(out, axis=1))
-        size = hi - lo
+        begin, end = np.searchsorted(where, lo), np.searchsorted(where, hi)
+        size = end - begin
         start = np.cumsum(size) - size
-        place = np.arange(size.sum()) + np.repeat(lo - start, size)
-        lowest = np.minimum.reduceat(values, np.stack([lo, hi], axis=1).ravel())[::2]
+        place = np.arange(size.sum()) + np.repeat(begin - start, size)
+        lowest = np.minimum.reduceat(values, np.stack([begin, end], axis=1).ravel())[::2]
         hit = np.flatnonzero(values[place] == np.repeat(lowest, size))
-        at = place[hit]
+        at = where[place[hit]]
         first = np.searchsorted(hit, start)
         out.append(np.stack([lo, at[first], hi - 1]))
         last = np.append(first[1:], len(hit)) - 1
@@ -139,6 +166,17 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
+def _dense(a: np.ndarray, b: np.ndarray, shared: np.ndarray, least: int) -> bool:
+    """Whether some ``least`` or more shingles of b can be similar to some of a: four in five must be shared.
+
+    Where b repeats shingles this says nothing, as a set may be similar while most places aren't shared.
+    """
+    if len(b) < least:
+        return False
+    sums = np.concatenate([[0], np.cumsum(np.where(shared, 1, -4))])
+    return bool((sums[least:] >= np.minimum.accumulate(sums[: len(b) - least + 1])).any()) or len(np.unique(b)) < len(b)
+
+
 def matching_passages(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
     """``(a start, a end, b start, b end)`` of passages of ``least`` or more shingles at a Jaccard similarity of 0.8 or more.
 
@@ -154,15 +192,91 @@ def matching_passages(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[in
         return bool(found)
 
     shared = np.isin(b, a)
+    if not _dense(a, b, shared, least):
+        return []
     for s, e in _best(shared, 0, len(b), least, 8):
         if not add(s, e, 8):
             for x, y in _best(shared, s, e, least, len(b)):
                 add(x, y, len(a))
-    out += [(x, y, s, e) for s, e, x, y in _edited(a, b, shared, least, [m[2:] for m in out])]
-    out += _edited(b, a, np.isin(a, b), least, [m[:2] for m in out])
+    return out + _bridged(a, b, least, out)
+
+
+def _repeats(sorted_values: np.ndarray) -> bool:
+    return bool((sorted_values[1:] == sorted_values[:-1]).any())
+
+
+def _on_diagonals(at: np.ndarray, a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> None:
+    """Where b agrees with a on a diagonal of the places given, that is a shingle's partner, on the most frequent one if on several."""
+    diagonals, count = np.unique(ca - cb, return_counts=True)
+    for d in diagonals[np.argsort(count, kind="stable")].tolist():
+        lo, hi = max(0, -d), min(len(b), len(a) - d)
+        same = lo + np.flatnonzero(a[lo + d : hi + d] == b[lo:hi])
+        at[same] = same + d
+
+
+def chained_passages(a: np.ndarray, b: np.ndarray, least: int, ca: np.ndarray, cb: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Like :func:`matching_passages`, for the ranges of a pair in which places ``ca`` of a and ``cb`` of b are known to agree.
+
+    The shared runs that stand in one order in both are chained, and each chain is measured exactly, from every run to every
+    later one; the longest similar ones come out. Where parts are moved or repeat within a text and no chain is similar, the
+    neighbourhoods of the places are compared by :func:`matching_passages`' exact search.
+    """
+    if min(len(a), len(b)) < least:
+        return []
+    order = np.argsort(a, kind="stable")
+    ordered = a[order]
+    at = np.minimum(np.searchsorted(ordered, b), len(a) - 1)
+    shared = ordered[at] == b
+    at = np.where(shared, order[at], -1)
+    sums = np.append(0, np.cumsum(np.where(shared, 1, -4)))
+    dense = (sums[least:] >= np.minimum.accumulate(sums[: len(b) - least + 1])).any()
+    repeats = _repeats(ordered) or _repeats(np.sort(b))
+    if not dense and not repeats:
+        return []
+    if repeats:
+        _on_diagonals(at, a, b, ca, cb)
+    hit = at >= 0
+    goes_on = hit[1:] & hit[:-1] & (at[1:] == at[:-1] + 1)
+    bs = np.flatnonzero(hit & ~np.append(False, goes_on))
+    be = np.flatnonzero(hit & ~np.append(goes_on, False)) + 1
+    xs, xe = at[bs], at[be - 1] + 1
+    total = np.append(0, np.cumsum(be - bs))
+    turns = np.append(0, np.cumsum(xs[1:] < xe[:-1]))
+    n = len(bs)
+    last = np.full(n, -1)
+    for w in range(min(n, CHAIN)):
+        p = np.arange(n - w)
+        both, la, lb = total[p + w + 1] - total[p], xe[p + w] - xs[p], be[p + w] - bs[p]
+        good = (turns[p + w] == turns[p]) & (la >= least) & (lb >= least) & (both >= SIMILARITY * (la + lb - both))
+        last[p[good]] = w + p[good]
+    out, reach = [], -1
+    for p in np.flatnonzero(last >= 0).tolist():
+        if last[p] > reach:
+            reach = int(last[p])
+            out.append((int(xs[p]), int(xe[reach]), int(bs[p]), int(be[reach])))
+    if repeats:
+        out = [m for m in out if _alike(a[m[0] : m[1]], b[m[2] : m[3]])]
+    elif not turns[-1] and n <= CHAIN:  # all is in one order, so nothing else can be similar
+        return out
+    done: list[tuple[int, int]] = []
+    for i, k in sorted(set(zip(ca.tolist(), cb.tolist()))) if not out else ():
+        if any(abs(i - p) < least and abs(k - q) < least for p, q in done[-8:]) or any(x <= i < y and s <= k < e for x, y, s, e in out):
+            continue
+        done.append((i, k))
+        x, y = max(0, i - AROUND * least), max(0, k - AROUND * least)
+        out += [(x + c, x + d, y + e, y + f) for c, d, e, f in _bridged(a[x : i + AROUND * least], b[y : k + AROUND * least], least, [])]
     return out
 
 
+def _bridged(a: np.ndarray, b: np.ndarray, least: int, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Similar passages beyond ``found``, by exact comparison between the ends of shared runs of both sides."""
+    in_b, in_a = np.isin(b, a), np.isin(a, b)
+    if not _dense(a, b, in_b, least) or not _dense(b, a, in_a, least):
+        return []
+    out = [(x, y, s, e) for s, e, x, y in _edited(a, b, in_b, least, [m[2:] for m in found])]
+    return out + _edited(b, a, in_a, least, [m[:2] for m in [*found, *out]])
+
+
 def _runs(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
     return step[::2], step[1::2]
@@ -226,114 +340,228 @@ def _partner(a: np.ndarray, before: np.ndarray, passage: np.ndarray, least: int)
     return at
 
 
-_MATCHES = "a long, b long, spans array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>, next array<struct<key:long,c:int,open:boolean>>"
+_MATCHES = "a long, b long, bl int, br int, spans array<int>, key array<long>, c array<int>, open array<boolean>"
 
 
-def _continuations(a: np.ndarray, ca: int, b: np.ndarray, cb: int, key: int) -> Iterator[tuple[int, int]]:
-    """Keys of b for another leader: how far b agrees with a around a place, and the shingle with which it goes its own way.
+def _continuations(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of b's places for another leader, and the place that each belongs to.
 
+    A key says how far b agrees with a to the right or left of a place, and with which shingle it then goes its own way.
     Documents that agree with each other beyond what they share with a have one of these keys in common.
     """
-    from xxhash import xxh64_intdigest
-
-    for side, x, y in (("R", a[ca:], b[cb:]), ("L", a[ca::-1], b[cb::-1])):
-        n = min(len(x), len(y))
-        differ = np.flatnonzero(x[:n] != y[:n])
-        k = int(differ[0]) if len(differ) else n
-        if k < len(y):
-            h = xxh64_intdigest(f"{key} {side} {k} {int(y[k])}")
-            yield h - (1 << 64) if h >= 1 << 63 else h, k
-
-
-def _verify(pairs: DataFrame, slices: DataFrame, passage: int) -> DataFrame:
+    keys, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for d in np.unique(ca - cb).tolist():
+        lo, hi = max(0, -d), min(len(b), len(a) - d)  # where b has a partner on this diagonal
+        differ = lo + np.flatnonzero(a[lo + d : hi + d] != b[lo:hi])
+        here = np.flatnonzero(ca - cb == d)
+        c = cb[here]
+        where = np.searchsorted(differ, c)
+        for side, way in ((1, np.append(differ, hi)[where]), (2, np.append(lo - 1, differ)[where])):
+            own = (way >= 0) & (way < len(b))
+            far, nxt = np.abs(way - c)[own].astype(np.uint64), b[way[own]].astype(np.uint32).astype(np.uint64)
+            x = at[here[own]].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (far << np.uint64(2)) + np.uint64(side)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + nxt
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            keys.append((x ^ (x >> np.uint64(32))).view(np.int64))
+            owner.append(here[own])
+    return np.concatenate(keys), np.concatenate(owner)
+
+
+def _verify(pairs: DataFrame, hashes: DataFrame, passage: int, onward: bool = True) -> DataFrame:
+    """Passages of each pair's ranges, and keys under which its places go on, or, unless ``onward``, the places themselves.
+
+    Each document's shingle hashes come once to its pairs as b, cut there to the range in question, and then meet a's.
+    """
     least = passage - SHINGLE + 1
+    fields = ["a", "b", "al", "bl", "br", "at", "ca", "cb", "a_open", "b_open", "more"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spans, nexts = [], []
-            for a, al, b, bl, places in zip(batch["ah"], batch["al"], batch["bh"], batch["bl"], batch["places"]):
-                a, b = np.asarray(a), np.asarray(b)
-                found = matching_passages(a, b, least) if any(p["open"] for p in places) else []
-                spans.append([{"a_start": x + al, "a_end": y + al + SHINGLE - 1, "b_start": s + bl, "b_end": e + bl + SHINGLE - 1} for x, y, s, e in found])
-                new = []
-                for p in places:
-                    is_open = p["b_open"] and not any(x <= p["ca"] - al < y and s <= p["cb"] - bl < e for x, y, s, e in found)
-                    new += [{"key": k, "c": p["cb"], "open": is_open} for k, _ in _continuations(a, p["ca"] - al, b, p["cb"] - bl, p["key"])]
-                nexts.append(new)
-            yield batch[["a", "b", "b_isle"]].assign(spans=spans, next=nexts)
-
-    side = lambda p: slices.select(*[F.col(c).alias(d) for c, d in (("doc", p), ("isle", f"{p}_isle"), ("lo", f"{p}l"), ("hashes", f"{p}h"))])
-    return pairs.join(side("b"), ["b", "b_isle"]).join(side("a"), ["a", "a_isle"]).mapInPandas(run, _MATCHES.replace("b long,", "b long, b_isle int,"))
-
-
-def _slices(docs: DataFrame, isles: DataFrame) -> DataFrame:
-    """``doc, isle, lo, hashes``: the shingle hashes of each island, from one more pass over the texts concerned.
-
-    They are cut to 32 bits: what is compared is a pair of islands, not the corpus, and a chance agreement there counts
+            rows = []
+            for a, al, b, bl, at, ca, cb, a_open, b_open, more in zip(*(batch[c] for c in ("ah", "al", "bh", "bl", "at", "ca", "cb", "a_open", "b_open", "more"))):
+                a, b, at, ca, cb, b_open = np.asarray(a), np.asarray(b), np.asarray(at), np.asarray(ca) - al, np.asarray(cb) - bl, np.asarray(b_open, bool)
+                tried = np.asarray(a_open, bool) | b_open
+                found = chained_passages(a, b, least, ca[tried], cb[tried]) if tried.any() else []
+                left = b_open.copy()
+                for x, y, s, e in found:
+                    left &= ~((x <= ca) & (ca < y) & (s <= cb) & (cb < e))
+                if onward:
+                    here = np.flatnonzero(more)  # elsewhere no third document is left
+                    key, owner = _continuations(a, b, ca[here], cb[here], at[here])
+                    owner = here[owner]
+                else:
+                    key, owner = at, np.arange(len(at))
+                spans = (np.array(found, np.int32).reshape(-1, 4) + (al, al + SHINGLE - 1, bl, bl + SHINGLE - 1)).astype(np.int32).ravel()
+                rows.append((spans, key, (cb + bl)[owner].astype(np.int32), left[owner]))
+            yield pd.concat([batch[["a", "b", "bl", "br"]].reset_index(drop=True), pd.DataFrame(rows, columns=["spans", "key", "c", "open"])], axis=1)
+
+    cut = lambda p: F.slice("hashes", F.col(f"{p}l") - F.col("lo") + 1, F.col(f"{p}r") - F.col(f"{p}l") + 1).alias(f"{p}h")
+    of_b = pairs.join(hashes.withColumnRenamed("doc", "b"), "b").select(*pairs.columns, cut("b"))
+    both = of_b.join(hashes.withColumnRenamed("doc", "a"), "a").select(*fields, "bh", cut("a"))
+    return both.mapInPandas(run, _MATCHES)
+
+
+def _hash_rows(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``doc, lo, hashes``: each text's shingle hashes from the first to the last of its windows in ``hits``.
+
+    They are cut to 32 bits: what is compared is a pair of ranges, not the corpus, and a chance agreement there counts
     as one shingle at most.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc, text, parts in zip(b["doc"].tolist(), b["text"], b["parts"]):
-                h = (shingle_hashes(text) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows += [(doc, p["isle"], p["lo"], h[p["lo"] : p["hi"] + 1]) for p in parts]
-            yield pd.DataFrame(rows, columns=["doc", "isle", "lo", "hashes"])
+            cut = [(shingle_hashes(t)[x : y + 1] >> np.uint64(32)).astype(np.uint32).view(np.int32) for t, x, y in zip(b["text"], b["lo"], b["hi"])]
+            yield pd.DataFrame({"doc": b["doc"], "lo": b["lo"], "hashes": cut})
+
+    ranges = hits.groupBy("doc").agg(F.min("l").alias("lo"), F.max("r").alias("hi"))
+    return docs.join(ranges, "doc").select("doc", "text", "lo", "hi").mapInPandas(run, "doc long, lo int, hashes array<int>")
+
+
+def _shared(rows: DataFrame, label: str) -> DataFrame:
+    """The rows whose key stands in two or more documents."""
+    keys = materialise(rows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key"), "shared-keys")
+    out = materialise(rows.join(keys.hint("shuffle_hash"), "key"), label)  # one row a key: the long side needs no sort
+    release(keys)
+    return out
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """``doc, rep``: documents whose whole text is another's, with the smallest of them."""
+    ids = docs.where("doc is not null and text is not null").select("doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second half"), "text").alias("t2"))
+    ids = materialise(ids, "text-hashes")
+    reps = materialise(ids.groupBy("t1", "t2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").drop("last"), "text-firsts")
+    return ids.join(reps, ["t1", "t2"]).where("doc <> rep").select("doc", "rep").distinct()
+
+
+def agreeing_windows(hits: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """``key, at, doc, l, c, r, open``: an interval join of each document's windows across hash functions.
+
+    Two windows of different hash functions come out where their intervals share enough shingles for a passage
+    and each holds the other's centre: just then a passage exists whose minima both are. ``key`` stands for both min-hashes,
+    so documents with a key in common agree on two hash functions over overlapping intervals; ``at`` is the first one's, at
+    place c. The join goes by (document, bin), a window's bins against the bin of the other's centre. Open is what has an open window.
+    """
+    own = [F.col(c) for c in ("doc", "key", "l", "c", "r", "open")]
+    wide = hits.select(*own, F.explode(F.sequence(F.floor(F.col("l") / BIN), F.floor(F.col("r") / BIN))).alias("bin"))
+    other = hits.select("doc", *[c.alias(f"{n}2") for n, c in zip(("key", "l", "c", "r", "open"), own[1:])], F.floor(F.col("c") / BIN).alias("bin"))
+    both = (F.col("key").bitwiseAND(7) < F.col("key2").bitwiseAND(7)) & F.col("c").between(F.col("l2"), F.col("r2")) & F.col("c2").between(F.col("l"), F.col("r"))
+    enough = F.least("r", "r2") - F.greatest("l", "l2") >= passage - SHINGLE
+    joined = wide.join(other, ["doc", "bin"]).where(both & enough)
+    return joined.select(F.xxhash64("key", "key2").alias("key"), F.col("key").alias("at"), "doc", F.greatest("l", "l2").alias("l"), "c", F.least("r", "r2").alias("r"), (F.col("open") | F.col("open2")).alias("open"))
+
+
+def _led(rows: DataFrame, lead: DataFrame) -> DataFrame:
+    """Each row of another document than its key's leader, beside the leader's place."""
+    return rows.join(lead.hint("shuffle_hash"), "key").where("doc <> a")
+
 
-    lists = isles.groupBy("doc").agg(F.collect_list(F.struct("isle", "lo", "hi")).alias("parts"))
-    return docs.join(lists, "doc").mapInPandas(run, "doc long, isle int, lo int, hashes array<int>")
+def _pairs(led: DataFrame, place: list[Column]) -> DataFrame:
+    """Leader a and document b with the range that their places span in each, and the places."""
+    return led.groupBy("a", F.col("doc").alias("b")).agg(
+        F.min("a_l").alias("al"), F.max("a_r").alias("ar"), F.min("l").alias("bl"), F.max("r").alias("br"), F.collect_set(F.struct(*place)).alias("places")
+    )
+
+
+def _found(verified: DataFrame) -> DataFrame:
+    """``a, b, spans`` of the pairs that match."""
+    four = F.transform(F.sequence(F.lit(0), F.size("spans") - 1, F.lit(4)), lambda i: F.struct(*[F.get("spans", i + k).alias(c) for k, c in enumerate(("a_start", "a_end", "b_start", "b_end"))]))
+    return verified.where(F.size("spans") > 0).select("a", "b", four.alias("spans"))
+
+
+def _columns(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", "al", "ar", "bl", "br", *[F.col(f"places.{x}").alias(x) for x in ("at", "ca", "cb", "a_open", "b_open", "more")])
+
+
+def _agree(places: Column, passage: int) -> Column:
+    """Whether windows of two hash functions meet in both documents: over enough shingles, each with the other's centre."""
+
+    def meet(x: Column, y: Column) -> Column:
+        sides = (x["at"].bitwiseAND(7) < y["at"].bitwiseAND(7),)
+        for l, c, r in (("a_l", "ca", "a_r"), ("l", "cb", "r")):
+            sides += (x[c].between(y[l], y[r]), y[c].between(x[l], x[r]), F.least(x[r], y[r]) - F.greatest(x[l], y[l]) >= passage - SHINGLE)
+        return reduce(Column.__and__, sides)
+
+    return F.exists(places, lambda x: F.exists(places, lambda y: meet(x, y)))
+
+
+def _first_leaders(hits: DataFrame, hashes: DataFrame, passage: int) -> tuple[DataFrame, DataFrame]:
+    """Passages shared with the leaders of single min-hashes, and the windows whose min-hash has an open place afterwards."""
+    lead = hits.groupBy("key").agg(F.min(F.struct("doc", "c", "l", "r")).alias("a"))
+    lead = materialise(lead.select("key", F.col("a.doc").alias("a"), *[F.col(f"a.{x}").alias(f"a_{x}") for x in ("c", "l", "r")]), "leaders")
+    led = _led(hits, lead)
+    yes = F.lit(True)
+    place = [F.col("key").alias("at"), F.col("a_c").alias("ca"), F.col("c").alias("cb"), "a_l", "a_r", "l", "r", yes.alias("a_open"), yes.alias("b_open"), yes.alias("more")]
+    pairs = _pairs(led, place).where(_agree(F.col("places"), passage))
+    found = materialise(_verify(_columns(pairs), hashes, passage, False), "verified")
+    places = found.select(F.col("b").alias("doc"), F.explode(F.arrays_zip("key", "c", "open")).alias("n"))
+    covered = materialise(places.where("not n.open").select("doc", "n.key", "n.c").distinct(), "covered")
+    still = materialise(led.select("key", "doc", "c").distinct().join(covered, ["key", "doc", "c"], "left_anti").withColumn("open", F.lit(True)), "uncovered")
+    release(covered)
+    keys = materialise(still.select("key").distinct(), "open-keys")
+    rest = hits.join(keys, "key").join(still, ["key", "doc", "c"], "left").select("key", "doc", "l", "c", "r", F.coalesce("open", F.lit(False)).alias("open"))
+    rest = materialise(rest, "open-windows")
+    for t in (lead, still, keys):
+        release(t)
+    return _found(found), rest
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
     """``a, b, spans``: verified near-duplicate passages of document b in document a (word ranges).
 
-    1. Each text's compact windows of six hash functions become rows of (min-hash, document, interval).
-    2. Min-hashes of one document only drop out. In each document the other windows' overlapping intervals join to islands,
-       and islands on which fewer than two hash functions agree drop out.
-    3. Each min-hash links its islands to one leader (the smallest document), not to each other. The linked pairs of
-       islands are compared shingle by shingle. Places that no match covers are open and go on to another leader among
-       those that continue alike where they part from the first one, until none is left: a line that very many
-       documents share, but no passage, ends after a round or two. Covered places go on with them as long as an open
-       one continues alike, as it may share a passage with a document that the leader has matched already.
+    1. Each text's compact windows of six hash functions become rows of (min-hash, document, interval). Min-hashes of one
+       document only drop out. Whole texts that repeat are linked to the smallest of them, which goes on for all.
+    2. Each min-hash links its documents to one leader (the smallest), not to each other. Pairs in which two hash functions'
+       intervals meet in both documents are compared shingle by shingle; the windows that a match covers are done.
+    3. Min-hashes with a window left go on with all their windows. An interval join within each document finds the places at
+       which two hash functions agree; each pair of min-hashes has its own leader and is compared in the same way.
+    4. Places that no match covers are open and go on to another leader among those that continue alike where they part from
+       the first one, until none of three or more is left: a line that very many documents share, but no passage, ends after a
+       round or two. Covered places go on with them as long as an open one continues alike, as it may share a passage with a
+       document that the leader has matched already.
 
     Leaders come from aggregations with map-side minima, members from joins that AQE may split: a passage that a third
     of all documents share makes one link a document and no hot task.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     windows = materialise(window_rows(own, passage), "windows")
-    shared = windows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key")
-    hits = windows.join(materialise(shared, "shared-hashes"), "key")
-    by_place = Window.partitionBy("doc").orderBy("l", "r")
-    reach = F.max("r").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    isled = hits.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("l")).cast("int")).withColumn("isle", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    isled = materialise(isled.select("key", "doc", "isle", "l", "c", "r"), "islands")
+    hits = _shared(windows, "window-hits")
     release(windows)
-    isles = (
-        isled.groupBy("doc", "isle")
-        .agg(F.min("l").alias("lo"), F.max("r").alias("hi"), F.expr("bit_or(shiftleft(1, cast(key & 7 as int)))").alias("agree"))
-        .where(F.bit_count("agree") >= NEEDED)
-        .drop("agree")
-    )
-    isles = materialise(isles, "island-spans")
-    slices = materialise(_slices(own, isles), "island-hashes")
-    todo = materialise(isled.join(isles.select("doc", "isle"), ["doc", "isle"]).select("key", "doc", "isle", "c", F.lit(True).alias("open")), "open")
-    rounds = []
+    copies = materialise(_copies(own), "copies")
+    whole = materialise(hits.join(copies, "doc").groupBy(F.col("rep").alias("a"), F.col("doc").alias("b")).agg((F.max("r") + SHINGLE).alias("n")), "whole-copies")
+    spans = F.array(F.struct(F.lit(0).alias("a_start"), F.col("n").alias("a_end"), F.lit(0).alias("b_start"), F.col("n").alias("b_end")))
+    rounds = [whole.select("a", "b", spans.alias("spans"))]
+    single = _shared(hits.join(copies.select("doc"), "doc", "left_anti"), "single-hits")
+    release(hits)
+    hashes = materialise(_hash_rows(own, single), "shingle-hashes")
+    first, rest = _first_leaders(single, hashes, passage)
+    rounds.append(first)
+    release(single)
+    todo = materialise(agreeing_windows(rest, passage), "agreeing-windows")
+    release(rest)
     while True:
-        lead = todo.groupBy("key").agg(F.min(F.struct("doc", "isle", "c", "open")).alias("lead"), F.max("doc").alias("last"), F.bool_or("open").alias("any")).where("lead.doc < last and any")
-        lead = materialise(lead.select("key", F.col("lead.doc").alias("a"), F.col("lead.isle").alias("a_isle"), F.col("lead.c").alias("ca"), F.col("lead.open").alias("a_open")), "leaders")
+        wider, hashes = hashes, materialise(hashes.join(todo.select("doc").distinct(), "doc", "left_semi"), "open-hashes")
+        release(wider)
+        lead = todo.groupBy("key").agg(F.min(F.struct("doc", "c", "l", "r", "open")).alias("a"), F.max("doc").alias("last"), F.bool_or("open").alias("any"), F.count(F.lit(1)).alias("n")).where("a.doc < last and any")
+        lead = materialise(lead.select("key", F.col("a.doc").alias("a"), *[F.col(f"a.{x}").alias(f"a_{x}") for x in ("c", "l", "r", "open")], (F.col("n") > 2).alias("more")), "leaders")
         if lead.isEmpty():
             break
-        led = todo.join(lead, "key").where("doc <> a").select("key", "a", "a_isle", "ca", F.col("doc").alias("b"), F.col("isle").alias("b_isle"), F.col("c").alias("cb"), (F.col("a_open") | F.col("open")).alias("open"), F.col("open").alias("b_open"))
-        pairs = led.groupBy("a", "a_isle", "b", "b_isle").agg(F.collect_set(F.struct("key", "ca", "cb", "open", "b_open")).alias("places"))
-        found = materialise(_verify(pairs, slices, passage), "verified")
+        place = ["at", F.col("a_c").alias("ca"), F.col("c").alias("cb"), "a_open", F.col("open").alias("b_open"), "more"]
+        found = materialise(_verify(_columns(_pairs(_led(todo, lead), place)), hashes, passage), "verified")
         release(todo)
         release(lead)
-        rounds.append(found.where(F.size("spans") > 0).select("a", "b", "spans"))
-        going = found.select(F.col("b").alias("doc"), F.col("b_isle").alias("isle"), F.explode("next").alias("n")).groupBy("n.key", "doc", "isle", "n.c").agg(F.bool_or("n.open").alias("open"))
-        todo = materialise(going.join(going.where("open").select("key").distinct(), "key", "left_semi"), "open")
-        wider, slices = slices, materialise(slices.join(todo.select("doc", "isle").distinct(), ["doc", "isle"], "left_semi"), "open-hashes")
-        release(wider)
+        rounds.append(_found(found))
+        going = (
+            found.select(F.col("b").alias("doc"), "bl", "br", F.explode(F.arrays_zip("key", "c", "open")).alias("n"))
+            .groupBy("n.key", "doc", "n.c").agg(F.min("bl").alias("l"), F.max("br").alias("r"), F.bool_or("n.open").alias("open"))
+            .withColumn("at", F.col("key"))
+        )
+        going = materialise(going, "going")
+        keys = materialise(going.where("open").select("key").distinct(), "open-keys")
+        todo = materialise(going.join(keys.hint("shuffle_hash"), "key"), "open")
+        release(going)
+        release(keys)
+    for t in (todo, lead, hashes):
+        release(t)
     out = _empty(docs, "a long, b long, spans array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>")
     for r in rounds:
         out = out.unionByName(r)
@@ -380,4 +608,5 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and repeated word ranges of all documents."""
     return substring_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -131,3 +131,52 @@ def test_near_passages_are_candidates(spark):
         docs += [(10 * k, passage(rng, 60) + words + passage(rng, 60)), (10 * k + 1, passage(rng, 60) + edits(rng, words, "changed") + passage(rng, 60))]
     got = spans_of(spark, docs)
     assert sum(got[10 * k + 1]["class_id"] == 10 * k for k in range(400)) >= 398
+
+
+@pytest.mark.parametrize("moved", [False, True])
+def test_chains_agree_with_brute_force(moved):
+    """Pairs with edits, and with parts moved or repeated, against all passages between shared shingles."""
+    rng = random.Random(18 + moved)
+    hits = 0
+    for _ in range(150):
+        source = [rng.randrange(10**6) for _ in range(18)]
+        copy = list(source)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(2, 15)
+            copy[at : at + rng.randrange(2)] = [rng.randrange(10**6) for _ in range(rng.randrange(3))]
+        if moved:
+            at = rng.randrange(4, 14)
+            copy = copy[at:] + copy[:at] if rng.random() < 0.5 else copy[:at] + copy[at - 3 :]
+        a, b = np.array([-1, -2, *source, -3]), np.array([-4, *copy, -5, -6])
+        tight, tight_a = np.flatnonzero(np.isin(b, a)).tolist(), np.flatnonzero(np.isin(a, b)).tolist()
+        if not tight:
+            continue
+        ca = np.array([int(np.flatnonzero(a == b[p])[0]) for p in tight])
+        got = substring_dedup.chained_passages(a, b, 10, ca, np.array(tight))
+        alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+        assert all(alike(set(a[i:j].tolist()), set(b[k:m].tolist())) and min(j - i, m - k) >= 10 for i, j, k, m in got)
+        want = any(
+            alike(x, y)
+            for i in tight_a for j in tight_a if j - i >= 9 for x in [set(a[i : j + 1].tolist())]
+            for k in tight for m in tight if m - k >= 9 for y in [set(b[k : m + 1].tolist())]
+        )
+        hits += want
+        assert bool(got) >= want
+    assert hits > 20
+
+
+def test_sparse_windows_equal_all_minima():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, least = int(rng.integers(1, 200)), int(rng.integers(2, 40))
+        v = rng.integers(0, int(rng.choice([4, 60, 10**9])), n).astype(np.uint64)
+        got = set(substring_dedup.compact_windows(v, least))
+        want, todo = set(), [(0, n)]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo >= least:
+                places = lo + np.flatnonzero(v[lo:hi] == v[lo:hi].min())
+                want.add((lo, int(places[0]), hi - 1))
+                ends = [lo - 1, *places.tolist(), hi]
+                todo += [(p + 1, q) for p, q in zip(ends, ends[1:])]
+        assert got == want
