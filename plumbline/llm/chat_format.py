@@ -112,7 +112,8 @@ def loss_text(formatted: Column, loss_mask: Column) -> Column:
 
         return F.array_join(F.transform(loss_mask, span), "")
 
-    return let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), 0), cut)
+    blocks = F.when(F.length(formatted) <= BLOCK, F.array(formatted)).otherwise(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), 0))
+    return let(blocks, cut)
 
 
 #: The conversation that the query adds, in whose texts another template's control strings stand.
