@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that contracts name, as a character class for Java's and DuckDB's patterns.
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of a text that are split at once.
+PIECE = 1 << 20
+# Letters A-Z become a-z, all ASCII characters but letters and digits part terms; bytes beyond ASCII stay.
+_TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +35,14 @@ def boxed(df: DataFrame, **keys: Column) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body`` over ``value``, which is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def terms(text: str | None) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, in order, in lists of about a megabyte."""
+    data = (text or "").encode("utf-8").translate(_TERM_BYTES)
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
