@@ -93,9 +93,10 @@ def screen_split(folds: DataFrame, id_col: str, test_fold: int, val_share: float
     return pool.withColumn("split", F.when(F.col("_test"), "test").when(F.percent_rank().over(w) < val_share, "val").otherwise("train")).select(id_col, "repeat_id", "split")
 
 
-def manifest(configs: DataFrame, repeats: int, folds: int) -> DataFrame:
-    """Each config, repeat and fold, with one seed for each (repeat, fold)."""
-    grid = configs.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_id")).select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+def manifest(configs: DataFrame, folds: DataFrame) -> DataFrame:
+    """Each config with each (repeat, fold) of a fold table, its number of held-out units, and a seed that all configs of the fold share."""
+    parts = folds.groupBy("repeat_id", "fold").agg(F.count(F.lit(1)).alias("n_units"))
+    grid = configs.crossJoin(parts)
     seed = F.conv(F.substring(F.md5(F.concat(F.lit("seed:"), F.col("repeat_id").cast("string"), F.lit(":"), F.col("fold").cast("string"))), 1, 7), 16, 10)
     return grid.withColumn("seed", seed.cast("long"))
 

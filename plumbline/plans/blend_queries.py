@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import calibrate as K
 from plumbline.operators import ensemble as I
 from plumbline.operators import metrics as M
+from plumbline.operators import offsets as O
 from plumbline.operators import ranks as R
 from plumbline.plans.book import query, r, tidy
 from plumbline.plans.metric_queries import _P_SCORES, corr_sql, rank_sql
@@ -222,6 +223,36 @@ def offset_opt(spark, d):
     return q.groupBy(*AE).agg(F.min_by("offset", F.struct("st_rae", "offset")).alias("by_st_rae"), F.min_by("offset", F.struct((-F.col("r2")).alias("m"), "offset")).alias("by_r2"))
 
 
+CURVE = (-2.0, 2.0, 401)
+_CURVE = [round(-2 + 0.01 * k, 2) for k in range(401)]
+_Z = """, z as (select arm, endpoint, conf_high - y_pred as z from p union all select arm, endpoint, conf_low - y_pred from p), o as (select *, row_number() over (partition by arm, endpoint order by z) as k, count(*) over (partition by arm, endpoint) as m from z),
+mid as (select arm, endpoint, min(z) filter (where k = m // 2) as low, min(z) filter (where k = m // 2 + 1) as high from o group by 1, 2), g as (select arm, endpoint, avg(y_true) as my, avg(y_true - y_pred) as gain, var_pop(y_true) as vy from p group by 1, 2),
+s as (select p.arm, p.endpoint, low, high, gain, sum(greatest(y_pred + low - conf_high, 0) + greatest(conf_low - y_pred - low, 0)) as e, sum(greatest(y_pred - conf_high, 0) + greatest(conf_low - y_pred, 0)) as e0, sum(greatest(my - conf_high, 0) + greatest(conf_low - my, 0)) as base, 1 - avg((y_pred + gain - y_true) ** 2) / any_value(vy) as r2
+  from p join mid using (arm, endpoint) join g using (arm, endpoint) group by all)"""
+
+
+@query(twin(_sw(_CURVE, [1.0]) + ' select arm, endpoint, "offset", ' + r("st_rae r2") + " from sw", "p"))
+def offset_curve(spark, d):
+    return tidy(O.offset_curve(X.predictions(spark, d), AE, *CURVE), "arm endpoint", "", "offset st_rae r2")
+
+
+@query(twin(_Z + f" select arm, endpoint, {r('low high gain gap st_rae raw r2')} from (select *, low - gain as gap, e / base as st_rae, e0 / base as raw from s)", "p"))
+def offset_optimum(spark, d):
+    best = O.offset_optimum(X.predictions(spark, d), AE).withColumnRenamed("r2_offset", "gain")
+    return tidy(best, "arm endpoint", "", "low high gain gap st_rae raw r2")
+
+
+_RHO = f"""rho as (select arm, endpoint, {corr_sql('y_true', 'y_pred')} as rho from p group by 1, 2), q as (select *, round(st_rae, 9) as st from sw join rho using (arm, endpoint)),
+e as (select arm, endpoint, rho, arg_min(scale, struct_pack(a := st, b := scale)) as best_scale, min(st_rae) as best, max(scale) filter (where scale <= rho) as x0, max(scale) as top, min(scale) as low, min(scale) filter (where scale >= rho) as x1 from q group by 1, 2, 3),
+v as (select e.*, a.st_rae + coalesce((rho - x0) / nullif(x1 - x0, 0), 0) * (b.st_rae - a.st_rae) as at_rho from e left join sw a on a.arm = e.arm and a.endpoint = e.endpoint and a.scale = x0 left join sw b on b.arm = e.arm and b.endpoint = e.endpoint and b.scale = x1)"""
+
+
+@query(twin(_sw([0.0], SCALES) + ", " + _RHO + f" select arm, endpoint, best_scale in (low, top) as at_boundary, coalesce(rho between low and top, false) as inside, {r('rho best_scale best at_rho gap')} from (select *, at_rho - best as gap from v)", "p"))
+def spread_at_rho(spark, d):
+    s = O.spread_at_rho(_spreads(spark, d), X.predictions(spark, d), AE)
+    return tidy(s, "arm endpoint at_boundary inside", "", "rho best_scale best at_rho gap")
+
+
 @query(twin(_sw([0.0], SCALES) + " select arm, endpoint, scale, " + r("st_rae r2") + " from sw", "p"))
 def spread_sweep(spark, d):
     return tidy(_spreads(spark, d), "arm endpoint scale", "", "st_rae r2")

@@ -114,16 +114,6 @@ def holm(spark, d):
     return tidy(C.holm(_ps(spark, d), "p", keys=["grp"], buckets=64), "grp k", "", "p_holm")
 
 
-@query()
-def bh_orders(spark, d):
-    return tidy(C.benjamini_hochberg(_ps(spark, d), "p", keys=["grp"], buckets=64), "grp k", "", "p_bh")
-
-
-@query()
-def holm_orders(spark, d):
-    return tidy(C.holm(_ps(spark, d), "p", keys=["grp"], buckets=64), "grp k", "", "p_holm")
-
-
 @query(twin(_ROWS + ", g as (select arm, var_samp(value) as v from x group by 1) select count(*) as arms, case when count(*) > 10 then 'bh' when max(v) / min(v) <= 9 then 'tukey' else 'conover_holm' end as route, round(0.05e0 / 3, 6) as alpha from g", "ms"))
 def posthoc_route(spark, d):
     x = rows(spark, d)

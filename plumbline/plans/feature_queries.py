@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import features as K
+from plumbline.operators import gram as G
 from plumbline.plans.book import query, r, tidy
 from plumbline.plans.metric_queries import corr_sql, rank_sql
 from plumbline.sources import fixtures as X
@@ -117,6 +118,39 @@ def grid_landscape(spark, d):
     return K.grid_landscape(_folded(spark, d), ["l_quantity", "l_discount"], "l_extendedprice", 3, [0.0, 0.1, 1.0])
 
 
+WIDTH = 1613
+_HASHED = f"""with d as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents where text is not null),
+c as (select doc_id, cast(('0x' || substr(md5(w), 1, 7)) as bigint) % {WIDTH} as f, count(*)::double as x from d group by all),
+n as (select count(distinct doc_id) as n from documents where text is not null),
+m as (select f, sum(x) as s, sum(x * x) as ss from c group by f),
+p as (select a.f as a, b.f as b, sum(a.x * b.x) as xy from c a join c b on a.doc_id = b.doc_id and a.f < b.f group by 1, 2),
+r as (select p.a, p.b, n.n, (xy - u.s * v.s / n) / sqrt((u.ss - u.s * u.s / n) * (v.ss - v.s * v.s / n)) as rho from p join m u on u.f = p.a join m v on v.f = p.b, n)"""
+
+
+def _hashed(spark, d):
+    """A row of WIDTH word counts for each document, by hash."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    bucket = (F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("long") % WIDTH).cast("int")
+    doc = T(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    counts = doc.select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", bucket.alias("f")).agg(F.count(F.lit(1)).cast("double").alias("x"))
+    own = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("f", "x"))).alias("own"))  # at most WIDTH entries
+    row = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.coalesce(F.try_element_at("own", k), F.lit(0.0)))
+    return doc.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", F.when(F.col("own").isNull(), F.array_repeat(F.lit(0.0), WIDTH)).otherwise(row).alias("x"))
+
+
+@query(_HASHED + " select cast(a as integer) as a, cast(b as integer) as b, n, round(rho, 6) + 0.0 as rho from r where rho >= 0.6")
+def gram_pairs(spark, d):
+    """Pairs of 1,613 columns at a correlation of 0.6 or more, by blocks of columns."""
+    p = G.correlation_pairs(G.gram_blocks(_hashed(spark, d), "x", WIDTH), WIDTH, 0.6).where("rho > 0")
+    return tidy(p, "a b", "n", "rho")
+
+
+@query()
+def gram_components(spark, d):
+    """How many components of 1,613 columns explain 90, 95 and 99 % of their variance."""
+    return G.components(_hashed(spark, d), "x", WIDTH)[1]
+
+
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 

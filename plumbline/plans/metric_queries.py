@@ -9,7 +9,9 @@ from plumbline.functions.errors import soft_error
 from plumbline.operators import metrics as M
 from plumbline.operators import ranks as R
 from plumbline.operators import resample as B
-from plumbline.plans.book import QUERIES, n, query, r, tidy
+from plumbline.operators.concordance import kendall_any
+from plumbline.operators.draws import bootstrap_draws, interval
+from plumbline.plans.book import n, query, r, tidy
 from plumbline.sources import fixtures as X
 from plumbline.sources.fixtures import twin
 
@@ -77,7 +79,13 @@ def kendall(spark, d):
     return tidy(M.kendall(X.oof(spark, d), ["arm", "endpoint", "repeat_id", "fold"], "y_true", "y_pred"), "arm endpoint repeat_id fold", "n", "kendall")
 
 
-QUERIES["kendall_repeats"] = kendall  # an earlier name
+@query("""with o as (select o_orderkey as k, o_totalprice as x, date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as y from orders),
+pairs as (select sum(sign(a.x - b.x) * sign(a.y - b.y)) as s, count(*) filter (where a.x <> b.x) as x, count(*) filter (where a.y <> b.y) as y from o a join o b on a.k < b.k)
+select (select count(*) from o) as n, round(s / sqrt(x::double * y), 6) + 0.0 as kendall from pairs""")
+def kendall_whole(spark, d):
+    """One group of all orders, which no task holds: ranges of either column."""
+    o = X.table(spark, d, "orders").select("o_totalprice", F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("days"))
+    return tidy(kendall_any(o, [], "o_totalprice", "days", limit=2_000, ranges=16), "", "n", "kendall")
 
 
 @query(twin(f"select {_KEYS}, n, {r('st_rae mae r2')} from sc", "sc"))
@@ -119,6 +127,7 @@ bs as (select arm, endpoint, repeat_id, fold, b, sum(times) as n, sum(times * ab
   from j join m using (arm, endpoint, repeat_id, fold, b) group by arm, endpoint, repeat_id, fold, b)
 """
 SAMPLES = 20
+DRAWS = 1000
 
 
 _FOLD = ["endpoint", "repeat_id", "fold"]
@@ -166,8 +175,13 @@ def boot_spearman(spark, d):
     return tidy(g, "arm endpoint repeat_id fold", "n degenerate", "mean low high")
 
 
-for _name, _same in (("bootstrap_metrics_folds", bootstrap_metrics), ("bootstrap_ci_folds", bootstrap_ci), ("boot_spearman_folds", boot_spearman)):
-    QUERIES[_name] = _same  # earlier names of the same queries
+@query()
+def bootstrap_thousand(spark, d):
+    """1,000 draws of every fold: intervals of ST-RAE and of Spearman's correlation, with the draws that leave them undefined."""
+    keys = ["arm", *_FOLD]
+    b = bootstrap_draws(X.oof(spark, d), keys, "unit_id", DRAWS)
+    both = interval(b, keys, "st_rae").join(interval(b.select(*keys, "spearman"), keys, "spearman").select(*keys, F.col("mean").alias("rho"), F.col("low").alias("rho_low"), F.col("high").alias("rho_high"), F.col("undefined").alias("rho_undefined")), keys)
+    return tidy(both, "arm endpoint repeat_id fold", "undefined rho_undefined", "mean low high rho rho_low rho_high")
 
 
 @query(twin(f"select arm, repeat_id, fold, count(*) as n_endpoints, round(avg(st_rae), 6) + 0.0 as st_rae, round(avg(mae), 6) + 0.0 as mae, max(dup) as dup from (select *, cast(count(*) over (partition by {_KEYS}) as bigint) as dup from sc) group by 1, 2, 3", "sc"))

@@ -153,11 +153,6 @@ def cluster_sizes(spark, d):
 hub as (select b, min(least(a, b)) as m from e group by b)
 select a as node, m as component from e join hub using (b) union select b, m from hub""")
 def coupled_groups(spark, d):
-    return coupled_groups_all(spark, d)
-
-
-@query()
-def coupled_groups_all(spark, d):
     c = T(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey") + 1000000000000).cast("long").alias("b"))
     s = T(spark, d, "supplier").select((F.col("s_suppkey") + 2000000000000).cast("long").alias("a"), (F.col("s_nationkey") + 1000000000000).cast("long").alias("b"))
     return connected_components(c.union(s), "a", "b")
@@ -268,9 +263,9 @@ def training_table(spark, d):
     return tidy(s.join(X.multi_labels(spark, d), "unit_id").withColumn("role", role), "unit_id endpoint role", "", "y_true", 9)
 
 
-@query(twin("select arm, cast(r as integer) as repeat_id, cast(k as integer) as fold, ('0x' || substr(md5(concat('seed:', r, ':', k)), 1, 7))::bigint as seed from arms cross join range(5) a(r) cross join range(5) b(k)", "arms"))
+@query(twin("select arm, repeat_id, fold, n_units, ('0x' || substr(md5(concat('seed:', repeat_id, ':', fold)), 1, 7))::bigint as seed from arms cross join (select repeat_id, fold, count(*) as n_units from f group by 1, 2)", "arms", "f"))
 def manifest(spark, d):
-    return S.manifest(X.arms(spark).select("arm"), 5, 5)
+    return S.manifest(X.arms(spark).select("arm"), X.folds(spark, d))
 
 
 _FR = ", e as (select unit_id, endpoint, round(avg(abs(y_pred - y_true)), 6) as e, max(conf_high - conf_low) as w0 from oof group by 1, 2), e2 as (select *, round(w0, 6) as width from e), fr as (select *, e > quantile_cont(e, 0.95) over (partition by endpoint) as resid, width >= quantile_cont(width, 0.95) over (partition by endpoint) as wide from e2)"

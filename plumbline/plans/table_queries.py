@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import audit as A
@@ -11,6 +13,7 @@ from plumbline.plans.book import n, query, r, tidy
 from plumbline.plans.metric_queries import AE, _edges, corr_sql, rank_sql
 from plumbline.sources import fixtures as X
 from plumbline.sources.fixtures import twin
+from plumbline.sources.storage import shared_dir
 
 DOSES = {"dose_a": 2.286, "dose_b": 11.43, "dose_c": 57.14}
 T = X.table
@@ -21,6 +24,17 @@ def scan_typed(spark, d):
     return A.read_table(spark, f"{d}/customer.parquet", "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
 
 
+@query(twin("select repeat_id, fold, count(*) as n, count(distinct arm) as arms, round(sum(y_pred), 4) + 0.0 as total from oof group by 1, 2", "oof"))
+def glob_parts(spark, d):
+    """Predictions in a file for each repeat and fold, which only its name tells."""
+    root = f"{shared_dir(spark)}/plumbline/parts-{uuid.uuid4().hex}"
+    rows = X.oof(spark, d).withColumn("part", F.concat(F.lit("r"), F.col("repeat_id"), F.lit("_f"), F.col("fold")))
+    rows.drop("repeat_id", "fold").repartition("part").write.partitionBy("part").parquet(root)
+    g = A.glob_concat(spark, f"{root}/part=*/*.parquet", {"repeat_id": r"part=r(\d+)_f", "fold": r"part=r\d+_f(\d+)"})
+    g = g.groupBy("repeat_id", "fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("arm").alias("arms"), F.sum("y_pred").alias("total"))
+    return tidy(g, "repeat_id fold", "n arms", "total", 4)
+
+
 @query("select count(*) as n, cast(sum(l_linenumber) as bigint) as total from lineitem")
 def glob_concat(spark, d):
     g = A.glob_concat(spark, f"{d}/lineitem.parquet", {})
@@ -104,6 +118,16 @@ def interval_sanity(spark, d):
     return tidy(g, "endpoint", "reversed", "low middle high spearman")
 
 
+def _folded(part: int, base: int) -> str:
+    return f"list_reduce(list_prepend(0::bigint, list(cast('0x' || substr(h, {part}, 7) as bigint) order by o_orderdate, substr(h, 1, 14))), lambda s, x: (s * {base} + x) % {A.MODULUS})"
+
+
+@query(f"select count(*) as n, printf('%08x%08x', {_folded(1, A.BASES[0])}, {_folded(8, A.BASES[1])}) as fingerprint from (select *, md5(concat_ws(chr(31), o_orderkey, o_custkey, o_orderstatus)) as h from orders)")
+def fingerprint_ordered(spark, d):
+    """Orders by date: the hash changes with the order of rows."""
+    return A.ordered_fingerprint(T(spark, d, "orders"), ["o_orderdate"], ["o_orderkey", "o_custkey", "o_orderstatus"])
+
+
 @query()
 def fingerprint(spark, d):
     t = T(spark, d, "orders")

@@ -46,7 +46,7 @@ def test_every_order_is_adjusted(spark):
     for r in spark.read.parquet(f"{SMALL}/orders.parquet").collect():
         k = r["o_orderkey"]
         groups[r["o_orderpriority"]][k] = None if k % 7 == 0 else round(int(hashlib.md5(str(k).encode()).hexdigest()[:7], 16) / 268435456, 6)
-    for name, at, out in (("bh_orders", 0, "p_bh"), ("holm_orders", 1, "p_holm")):
+    for name, at, out in (("bh", 0, "p_bh"), ("holm", 1, "p_holm")):
         got = {(r["grp"], r["k"]): r[out] for r in catalog.QUERIES[name](spark, SMALL).collect()}
         assert len(got) == sum(map(len, groups.values())) and max(k for _, k in got) >= 200
         for g, ps in groups.items():
@@ -79,7 +79,7 @@ def test_components_equal_union_find(spark):
 def test_every_customer_and_supplier_has_a_component(spark):
     read = lambda t: spark.read.parquet(f"{SMALL}/{t}.parquet").collect()
     edges = [(r["c_custkey"], r["c_nationkey"] + 10**12) for r in read("customer")] + [(r["s_suppkey"] + 2 * 10**12, r["s_nationkey"] + 10**12) for r in read("supplier")]
-    got = catalog.QUERIES["coupled_groups_all"](spark, SMALL).collect()
+    got = catalog.QUERIES["coupled_groups"](spark, SMALL).collect()
     assert {r["node"]: r["component"] for r in got} == union_find(edges) and len(got) == len({x for e in edges for x in e})
 
 
@@ -89,12 +89,12 @@ def test_every_fold_and_repeat_has_its_draws(spark):
         groups[r["arm"], r["endpoint"], r["repeat_id"], r["fold"]].append(r)
     assert len({k[2:] for k in groups}) == 25
     key = lambda r: (r["arm"], r["endpoint"], r["repeat_id"], r["fold"])
-    tau = {key(r): r for r in catalog.QUERIES["kendall_repeats"](spark, SMALL).collect()}
+    tau = {key(r): r for r in catalog.QUERIES["kendall"](spark, SMALL).collect()}
     scores = defaultdict(dict)
-    for r in catalog.QUERIES["bootstrap_metrics_folds"](spark, SMALL).collect():
+    for r in catalog.QUERIES["bootstrap_metrics"](spark, SMALL).collect():
         scores[key(r)][r["b"]] = r
-    intervals = {key(r): r for r in catalog.QUERIES["bootstrap_ci_folds"](spark, SMALL).collect()}
-    ranks = {key(r): r for r in catalog.QUERIES["boot_spearman_folds"](spark, SMALL).collect()}
+    intervals = {key(r): r for r in catalog.QUERIES["bootstrap_ci"](spark, SMALL).collect()}
+    ranks = {key(r): r for r in catalog.QUERIES["boot_spearman"](spark, SMALL).collect()}
     assert set(tau) == set(scores) == set(intervals) == set(ranks) == set(groups)
     for k, rows in groups.items():
         assert tau[k]["n"] == len(rows) and len(scores[k]) == 20 == intervals[k]["n"] == ranks[k]["n"] + ranks[k]["degenerate"]
