@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.neighbours import cosine_pairs, nearest  # noqa: F401
 from plumbline.sources.storage import materialise, release
 
 
@@ -21,12 +22,17 @@ def set_fingerprint(tokens: Column, bits: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int") % bits)))
 
 
-def jaccard_pairs(df: DataFrame, id_col: str, tokens: str, least: float) -> tuple[DataFrame, DataFrame]:
+#: Sets of one posting list that meet in a task; longer lists are dealt as pairs of blocks.
+LIST = 2048
+
+
+def jaccard_pairs(df: DataFrame, id_col: str, tokens: str, least: float, block: int = LIST) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b, common, sim`` of representatives (a < b), and ``id, rep, n`` of all members, whose token sets have a Jaccard similarity of ``least`` or more. Exact.
 
     Tokens are ordered from rare to frequent, and only the first n - ceil(least n) + 1 of a set enter the inverted index:
-    two sets of the wanted similarity share one of these. Frequent tokens are thereby rarely indexed, lengths filter the
-    candidates, and the sets are compared last. Equal sets are one node each.
+    two sets of the wanted similarity share one of these. Two sets that meet at positions i and j of a token can share one token more than
+    the shorter rest behind it at most, so most of those that meet don't become candidates. Lists of more than ``block`` sets are dealt as pairs of blocks to separate tasks, so a token that a third of all
+    sets hold is no hot spot. The sets are compared last. Equal sets are one node each.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(tokens).alias("tokens")).where(F.size(tokens) > 0)
     keyed = rows.withColumn("set_key", F.md5(F.concat_ws(" ", F.array_sort("tokens"))))
@@ -35,9 +41,16 @@ def jaccard_pairs(df: DataFrame, id_col: str, tokens: str, least: float) -> tupl
     freq = exploded.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     ordered = exploded.join(freq, "t").groupBy("rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("s"))
     ordered = materialise(ordered.withColumn("n", F.size("s")), "token-sets")
-    prefix = ordered.select("rep", "n", F.explode(F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("t"))
-    other = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "t")
-    cand = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "t").join(other, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    prefix = ordered.select("rep", "n", F.posexplode(F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("p", "t"))
+    lists = prefix.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    dealt = prefix.join(lists, "t").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = materialise(dealt, "postings")
+    left = dealt.select("t", F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    right = dealt.select("t", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"))
+    wanted = F.ceil((F.col("nx") + F.col("ny")) * least / (1 + least) - 1e-9)
+    met = left.join(right, ["t", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")))
+    met = met.where((F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= wanted))
+    cand = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda s: ordered.select(F.col("rep").alias(s), F.col("s").alias(f"s{s}"))
     both = cand.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     sim = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))
@@ -54,43 +67,11 @@ def expand_pairs(linked: DataFrame, members: DataFrame) -> DataFrame:
     return cross.union(same)
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def unit_vectors(df: DataFrame, id_col: str, vec: str, *extra: str) -> DataFrame:
     norm = F.sqrt(F.aggregate(F.col(vec), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return df.select(F.col(id_col).alias("id"), *extra, F.transform(vec, lambda x: F.try_divide(x.cast("double"), norm)).alias("v"))
 
 
-def cosine_pairs(vectors: DataFrame, least: float, blocks: int = 8) -> DataFrame:
-    """``a, b, sim`` (a < b) of all pairs of unit vectors at a cosine of ``least`` or more, exactly.
-
-    The rows are dealt into blocks by id, and pairs of blocks are the join key: each row goes to ``blocks`` tasks, so
-    that the quadratic work is spread evenly and no pair is made twice. Pairs below the threshold never leave their task.
-    """
-    v = vectors.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    pair = lambda s: v.select(F.col("id").alias(s), F.col("v").alias(f"v{s}"), F.col("k").alias(f"k{s}"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
-    a = pair("a").withColumn("p", F.concat_ws("-", "ka", "o"))
-    b = pair("b").withColumn("p", F.concat_ws("-", "o", "kb"))
-    return a.join(b, "p").where("a < b").select("a", "b", _dot("va", "vb").alias("sim")).where(F.col("sim") >= least)
-
-
-def nearest(queries: DataFrame, reference: DataFrame, k: int = 1, blocks: int = 8) -> DataFrame:
-    """``q, r, sim, rank``: the k most similar reference vectors of each query vector (not itself).
-
-    The reference is dealt in blocks, each query meets each block, and a block keeps its k best before they meet.
-    """
-    q = queries.select(F.col("id").alias("q"), F.col("v").alias("vq"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
-    r = reference.select(F.col("id").alias("r"), F.col("v").alias("vr"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("o"))
-    s = q.join(r, "o").where("q <> r").select("q", "r", "o", _dot("vq", "vr").alias("sim"))
-    if k == 1:
-        best = s.groupBy("q").agg(F.max(F.struct("sim", (-F.col("r")).alias("nr"))).alias("m"))
-        return best.select("q", (-F.col("m.nr")).alias("r"), "m.sim", F.lit(1).alias("rank"))
-    top = s.withColumn("_n", F.row_number().over(Window.partitionBy("q", "o").orderBy(F.col("sim").desc(), "r"))).where(F.col("_n") <= k)
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("sim").desc(), "r"))).where(F.col("rank") <= k).select("q", "r", "sim", "rank")
-
-
 def activity_cliffs(pairs: DataFrame, values: DataFrame, id_col: str, value: str, delta: float) -> DataFrame:
     """Similar pairs with their difference, score (difference over distance, infinite for identical ones) and flag."""
     side = lambda s: values.select(F.col(id_col).alias(s), F.col(value).alias(f"y{s}"))
