@@ -73,12 +73,24 @@ class Codec:
             self.db.unregister("given")
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (little-endian, four bytes each) by the recursive query."""
+        """Ids of each word (little-endian, four bytes each) by the recursive query.
+
+        A batch that meets the connection's memory limit is halved and tried again; a word that does so alone goes through the heap.
+        """
+        import duckdb
+
         ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
         tokens = pa.array(self.byte[np.frombuffer(b"".join(words), np.uint8)])
         self.db.register("first_states", pa.table({"word": np.arange(len(words)), "tokens": pa.ListArray.from_arrays(pa.array(ends), tokens)}))
-        out = self.db.sql(ENCODE).to_arrow_table()["tokens"].combine_chunks()
-        self.db.unregister("first_states")
+        try:
+            out = self.db.sql(ENCODE).to_arrow_table()["tokens"].combine_chunks()
+        except duckdb.OutOfMemoryException:
+            out = None
+        finally:
+            self.db.unregister("first_states")
+        if out is None:
+            half = len(words) // 2
+            return self._contract(words[:half]) + self._contract(words[half:]) if half else [self._contract_long(words[0])]
         data, cuts = out.values.to_numpy().astype("<u4").tobytes(), (out.offsets.to_numpy() * 4).tolist()
         return [data[a:z] for a, z in zip(cuts, cuts[1:])]
 
@@ -162,21 +174,41 @@ class Codec:
             while end < len(cut) and (end == at or n + len(cut[end][1]) // 4 <= TOKENS):
                 n += len(cut[end][1]) // 4
                 end += 1
-            part = cut[at:end]
-            sizes = [len(x) // 4 for _, x in part]
-            rows = {"doc": np.repeat(np.arange(len(part)), sizes), "pos": np.arange(n), "token": np.frombuffer(b"".join(x for _, x in part), "<i4")}
-            self.db.register("token_rows", pa.table(rows))
-            found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
-            self.db.unregister("token_rows")
-            if len(found):
-                lists = found["parts"].chunk(0)
-                ends, cuts = np.frombuffer(lists.values.buffers()[1], np.int32), lists.offsets.to_numpy()
-                data = memoryview(lists.values.buffers()[2])
-                for d, a, z in zip(found["doc"].to_pylist(), cuts, cuts[1:]):
-                    out[part[d][0]].append(bytes(data[ends[a] : ends[z]]))
+            for (k, _), data in zip(cut[at:end], self._bytes([x for _, x in cut[at:end]])):
+                out[k].append(data)
             at = end
         return [b"".join(x) for x in out]
 
+    def _bytes(self, part: list[bytes]) -> list[bytes]:
+        """The bytes of each list of ids by one query; lists that meet the memory limit are halved."""
+        import duckdb
+
+        sizes = [len(x) // 4 for x in part]
+        rows = {"doc": np.repeat(np.arange(len(part)), sizes), "pos": np.arange(sum(sizes)), "token": np.frombuffer(b"".join(part), "<i4")}
+        self.db.register("token_rows", pa.table(rows))
+        try:
+            found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+        except duckdb.OutOfMemoryException:
+            if sum(sizes) < 2:
+                raise
+            found = None
+        finally:
+            self.db.unregister("token_rows")
+        if found is None:
+            half = len(part) // 2
+            if half:
+                return self._bytes(part[:half]) + self._bytes(part[half:])
+            middle = sizes[0] // 2 * 4
+            return [b"".join(self._bytes([part[0][:middle]]) + self._bytes([part[0][middle:]]))]
+        out = [b""] * len(part)
+        if len(found):
+            lists = found["parts"].chunk(0)
+            ends, cuts = np.frombuffer(lists.values.buffers()[1], np.int32), lists.offsets.to_numpy()
+            data = memoryview(lists.values.buffers()[2])
+            for d, a, z in zip(found["doc"].to_pylist(), cuts, cuts[1:]):
+                out[d] = bytes(data[ends[a] : ends[z]])
+        return out
+
 
 @cache
 def codec(path: str, pattern: str) -> Codec:

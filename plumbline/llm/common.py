@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: The white space that contracts name, as a character class for Java's and DuckDB's patterns.
 SPACE = r"\x20\x09-\x0D"
@@ -32,6 +33,27 @@ def boxed(df: DataFrame, **keys: Column) -> DataFrame:
     return df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
 
 
+def named(column: str) -> Column:
+    """A top-level column of any name, also one with dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def _has_map(kind: DataType) -> bool:
+    inner = kind.fields if isinstance(kind, StructType) else []
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType) or any(_has_map(f.dataType) for f in inner)
+
+
+def hashable(c: Column, kind: DataType) -> Column:
+    """``c`` with each map in it, at any depth, as its entries in the order of the keys: Spark hashes and orders no maps."""
+    if not _has_map(kind):
+        return c
+    if isinstance(kind, MapType):
+        return F.sort_array(F.transform(F.map_entries(c), lambda e: F.struct(hashable(e["key"], kind.keyType).alias("k"), hashable(e["value"], kind.valueType).alias("v"))))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: hashable(x, kind.elementType))
+    return F.when(c.isNotNull(), F.struct(*[hashable(c[f.name], f.dataType).alias(f"f{k}") for k, f in enumerate(kind.fields)]))
+
+
 def let(value: Column, body) -> Column:
     """``body`` over ``value``, which is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

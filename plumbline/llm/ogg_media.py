@@ -193,6 +193,7 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents as Ogg media, read back. Null texts count as empty; each row comes out, whatever its id; other columns are left aside."""
     back = read_media(to_media(table(spark, sf_dir, "documents")))
     return back.select(
         F.col("id").alias("doc_id"),

@@ -161,6 +161,7 @@ def held_out(doc_id):
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from the labelled rows that aren't held out. Null and empty texts get the score of no feature; long texts are scored whole."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = train(training_rows(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
     return score(docs, weights).select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import boxed, table
+from plumbline.llm.common import boxed, hashable, named, table
 from plumbline.sources.storage import materialise
 
 BLOCK_DOCS = 32
@@ -39,11 +39,14 @@ def schedule(weights: dict[str | None, float], period: int = PERIOD, longest: in
     less than one block from its target, in exact arithmetic. Weights whose common denominator is at most
     ``longest`` get a cycle after which every source stands exactly at its target, so this holds for any number of cycles.
     Other weights get ``period`` slots, or more if the smallest weight needs them for its first block; then each further
-    cycle adds less than one block of deviation, a share of less than one in ``period``.
+    cycle adds less than one block of deviation, a share of less than one in ``period``. More sources than ``longest`` are an error:
+    what the driver makes has a row for each source and slot.
     """
     share = shares(weights)
     if not share:
         return []
+    if len(share) > longest:
+        raise ValueError(f"{len(share)} sources don't fit a cycle of {longest} slots; group them first")
     total = sum(share.values())
     slots = total if total <= longest else max(period, -(-total // min(share.values())))
     names = list(share)
@@ -114,7 +117,7 @@ def mix(
     slots = schedule(given, period)
     cycle = _cycle_table(docs.sparkSession, slots or [None])
     share = cycle.where("k = 0").select(F.col("s").alias("share_s"), "q")
-    ids, rest = F.col(id_col).cast("string"), F.xxhash64(*docs.columns)
+    ids, rest = F.col(id_col).cast("string"), F.xxhash64(*[hashable(named(f.name), f.dataType) for f in docs.schema])
     rows = boxed(docs, s=F.col(source_col).cast("string"), id=ids, rest=rest, h=F.when(F.col(id_col).isNull(), rest).otherwise(F.xxhash64(ids)))
     rows = rows.withColumn("b", F.pmod("h", F.lit(buckets)))
     sizes = rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))

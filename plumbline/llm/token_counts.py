@@ -290,6 +290,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by the 50k byte-level vocabulary. Null texts count as empty; each row comes out, whatever its id; other columns are left aside."""
     import public_tokenizers
 
     out = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

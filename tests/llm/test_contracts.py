@@ -98,7 +98,8 @@ def plain(spark):
 @pytest.fixture(scope="module")
 def named(plain):
     assert not {"doc_id", "text", "source"} & set(NAMES)
-    return plain.select("*", *[F.lit(f"own {c}").alias(c) for c in NAMES])
+    typed = {"a.b": "map('x', 1, 'y', cast(doc_id as int))", "nested": "array(named_struct('m', map(doc_id is null, array(map('k', 1.5D))), 'b', cast('z' as binary)))", "own.struct": "named_struct('x.y', map(1, 2), 'd', date'2020-01-01')", "gone": "cast(null as map<string,int>)", "raw": "cast(text as binary)"}
+    return plain.select("*", *[F.lit(f"own {c}").alias(c) for c in NAMES], *[F.expr(e).alias(c) for c, e in typed.items()])
 
 
 def tokenizer(name):
@@ -176,3 +177,37 @@ def test_pipeline_leaves_only_its_last_input(spark):
     corpus_pipeline.run(spark, SMALL).count()
     new = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{root}/*")) - before}
     assert new == {"stage-source_mixing"}
+
+
+def test_batches_beyond_the_memory_limit_are_halved():
+    import duckdb
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path(bpe_codec.VOCABULARY)
+    c = bpe_codec.Codec(path, public_tokenizers.PATTERN)
+    words = sorted({f"{a}unusualpiece{b}{'ab' * (b % 50)}" for a in "abcdefghij" for b in range(150)})
+    real, sizes = c.db, []
+
+    class Tight:
+        """The connection, out of memory for more than 100 words and for one long word, or for more than 60 tokens."""
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def register(self, name, rows):
+            self.rows = rows
+            sizes.append(len(rows))
+            return real.register(name, rows)
+
+        def sql(self, query):
+            if query == bpe_codec.ENCODE and (len(self.rows) > 100 or len(self.rows) == 1 and len(self.rows["tokens"][0]) > 100) or query == bpe_codec.DECODE and len(self.rows) > 60:
+                raise duckdb.OutOfMemoryException("planted")
+            return real.sql(query)
+
+    c.db = Tight()
+    lone = "x" + "yzw" * 200
+    ids = c.encode([" ".join(words), lone])
+    ranks = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.whole, special_tokens={})
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [ranks.encode_ordinary(" ".join(words)), ranks.encode_ordinary(lone)]
+    assert [x.decode() for x in c.decode(ids)] == [" ".join(words), lone] and min(sizes) < 100 < max(sizes)
