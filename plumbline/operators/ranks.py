@@ -30,6 +30,22 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str, buckets:
     return ranked.join(below, [*keys, "_b"], "left").withColumn(out, F.col("_r") + F.col("_below")).drop("_r", "_b", "_below")
 
 
+def hash_number(df: DataFrame, keys: list[str], digest: Column, tie: str, out: str, total: str, digits: int = 3) -> DataFrame:
+    """``df`` with each row's number (from 1) within ``keys`` in the order of a hex digest, equal ones by ``tie``, and the group's size.
+
+    Digests fall evenly into the ranges of their first ``digits``: each range is numbered by itself and shifted by the counts of
+    the ranges below, so one group of all rows is spread over all tasks. The numbers are those of one window over the group. Keys
+    that are null form a group.
+    """
+    j = df.withColumn("_h", digest).withColumn("_p", F.substring("_h", 1, digits)).withColumn("_g", F.struct(F.lit(True), *keys))
+    sizes = j.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    below = sizes.select("_g", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"), F.sum("_n").over(Window.partitionBy("_g")).alias(total))
+    w = Window.partitionBy("_g", "_p").orderBy("_h", tie)
+    numbered = j.withColumn("_r", F.row_number().over(w)).join(below, ["_g", "_p"])
+    return numbered.withColumn(out, F.col("_r") + F.col("_below")).drop("_h", "_p", "_g", "_r", "_below")
+
+
 def safe_corr(a: Column | str, b: Column | str) -> Column:
     """Pearson correlation, null where a side is constant (to rounding)."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.neighbours import cosine_pairs, nearest  # noqa: F401
+from plumbline.operators.ranks import average_rank, hash_number
 from plumbline.sources.storage import materialise, release
 
 
@@ -116,11 +117,17 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
 def permutation_null(df: DataFrame, id_col: str, cluster: str, value: str, trials: int) -> DataFrame:
     """Mean within-cluster range against ``trials`` hash shuffles of the values: observed, null mean and sd, p.
 
-    A shuffle joins ranks by id with ranks by md5(id, trial); all trials are one plan.
+    A shuffle joins numbers by id with numbers by md5(id, trial); all trials are one plan, and each is numbered by ranges of its hash.
+    Ids are distinct; numeric ones are numbered once for all trials, by ranges too.
     """
     t = F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("t")
-    slots = df.select(id_col, cluster, t).withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy(id_col)))
-    vals = df.select(id_col, value, t).withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("t").cast("string"))), id_col)))
+    ids = F.col(id_col).cast("string")
+    if dict(df.dtypes)[id_col] in ("smallint", "int", "bigint", "float", "double"):
+        slots = average_rank(df.select(id_col, cluster), [], id_col, "k", 64).withColumn("k", F.col("k").cast("long"))
+    else:
+        slots = df.select(id_col, cluster).withColumn("k", F.row_number().over(Window.orderBy(id_col)).cast("long"))
+    slots = slots.select(cluster, "k", t)
+    vals = hash_number(df.select(id_col, value, t), ["t"], F.md5(F.concat_ws(":", ids, F.col("t").cast("string"))), id_col, "k", "_of")
     span = lambda d, keys: d.groupBy(*keys, cluster).agg((F.max(value) - F.min(value)).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
     null = span(slots.select("t", "k", cluster).join(vals.select("t", "k", value), ["t", "k"]), ["t"]).groupBy("t").agg(F.avg("s").alias("s"))
     obs = span(df, []).agg(F.avg("s").alias("observed"))

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.errors import clip
+from plumbline.operators.ranks import hash_number
 
 
 def exact_kfold(units: DataFrame, id_col: str, k: int, repeats: int) -> DataFrame:
     """``id, repeat_id, fold``: each repeat a fresh hash shuffle, fold sizes differ by one at most.
 
-    Exact sizes need ranks within a repeat; :func:`hash_kfold` needs none and suits any size.
+    Exact sizes need each unit's number within its repeat, which comes from ranges of the hash; :func:`hash_kfold` needs none.
     """
     r = units.select(id_col).distinct().select(id_col, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_id"))
-    w = Window.partitionBy("repeat_id").orderBy(F.md5(F.concat(F.col(id_col), F.lit(":k"), F.col("repeat_id").cast("string"))), id_col)
-    return r.withColumn("fold", (F.ntile(k).over(w) - 1).cast("int"))
+    digest = F.md5(F.concat(F.col(id_col), F.lit(":k"), F.col("repeat_id").cast("string")))
+    r = hash_number(r, ["repeat_id"], digest, id_col, "_at", "_of")
+    # The first (n mod k) folds have one unit more than the others.
+    return r.withColumn("fold", F.expr(f"cast(if(_at <= (_of % {k}) * (_of div {k} + 1), (_at - 1) div (_of div {k} + 1), _of % {k} + (_at - 1 - (_of % {k}) * (_of div {k} + 1)) div greatest(_of div {k}, 1)) as int)")).drop("_at", "_of")
 
 
 def hash_kfold(units: DataFrame, id_col: str, k: int, repeats: int) -> DataFrame:
@@ -89,8 +92,10 @@ def df_of(like: DataFrame, rows: list[tuple]) -> DataFrame:
 def screen_split(folds: DataFrame, id_col: str, test_fold: int, val_share: float, salt: str = ":v") -> DataFrame:
     """``id, repeat_id, split``: the fold is the test side; of the rest a share in hash order is for validation."""
     pool = folds.withColumn("_test", F.col("fold") == test_fold)
-    w = Window.partitionBy("repeat_id", "_test").orderBy(F.md5(F.concat(F.col(id_col), F.lit(salt), F.col("repeat_id").cast("string"))), id_col)
-    return pool.withColumn("split", F.when(F.col("_test"), "test").when(F.percent_rank().over(w) < val_share, "val").otherwise("train")).select(id_col, "repeat_id", "split")
+    digest = F.md5(F.concat(F.col(id_col), F.lit(salt), F.col("repeat_id").cast("string")))
+    at = hash_number(pool, ["repeat_id", "_test"], digest, id_col, "_at", "_of")
+    share = (F.col("_at") - 1) / F.greatest(F.col("_of") - 1, F.lit(1))
+    return at.withColumn("split", F.when(F.col("_test"), "test").when(share < val_share, "val").otherwise("train")).select(id_col, "repeat_id", "split")
 
 
 def manifest(configs: DataFrame, folds: DataFrame) -> DataFrame:

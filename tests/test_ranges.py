@@ -294,3 +294,24 @@ def test_compaction_rewrites_one_bucket(spark, tmp_path):
     assert run() == {f"k{i}": i for i in range(60)} | {"k7": 700}
     after = S.bucket_bases(spark, S.upsert_root(spark, name))
     assert sum(before[b] != after[b] for b in after) == 1 and before.keys() == after.keys()
+
+
+# ---- Numbers over hash ranges ----
+
+
+@pytest.mark.parametrize("n,k", [(1, 5), (3, 5), (23, 5), (500, 7)])
+def test_folds_and_splits_are_those_of_one_window(spark, n, k):
+    from pyspark.sql.window import Window
+
+    from plumbline.operators import splits
+
+    units = spark.range(n).select(F.concat(F.lit("u"), "id").alias("u"))
+    got = {(r["u"], r["repeat_id"]): r["fold"] for r in splits.exact_kfold(units, "u", k, 3).collect()}
+    rows = units.select("u", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("repeat_id"))
+    digest = lambda salt: F.md5(F.concat("u", F.lit(salt), F.col("repeat_id").cast("string")))
+    w = Window.partitionBy("repeat_id").orderBy(digest(":k"), "u")
+    assert got == {(r["u"], r["repeat_id"]): r["f"] for r in rows.withColumn("f", F.ntile(k).over(w) - 1).collect()}
+    folds = splits.exact_kfold(units, "u", k, 3)
+    v = Window.partitionBy("repeat_id", "test").orderBy(digest(":v"), "u")
+    want = folds.withColumn("test", F.col("fold") == 0).withColumn("split", F.when(F.col("test"), "test").when(F.percent_rank().over(v) < 0.15, "val").otherwise("train"))
+    assert sorted(map(tuple, splits.screen_split(folds, "u", 0, 0.15).collect())) == sorted((r["u"], r["repeat_id"], r["split"]) for r in want.collect())
