@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -124,6 +125,26 @@ def table_fingerprint(df: DataFrame, columns: list[str], buckets: int = 256) ->
     return per.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])), 256).alias("fingerprint"))
 
 
+def examples(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
+    """``column, examples``: the first ``n`` distinct values of each column as strings, in their order; none where all are null.
+
+    All columns go through one long form: values combine before they are shuffled, and each task hands on ``n`` of a column at most.
+    """
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    values = long.where("value is not null").distinct()
+    first = values.withColumn("_n", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("_n") <= n)
+    found = first.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("examples"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(found, "column", "left").select("column", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
+def null_rows(df: DataFrame, columns: list[str], bar: float = 0.1) -> DataFrame:
+    """``n, mean_rate, max_rate, above``: the share of nulls in a row on average and at most, and how many rows are above ``bar``."""
+    rate = sum(F.col(c).isNull().cast("double") for c in columns) / len(columns)
+    r = df.select(rate.alias("r"))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_rate"), F.max("r").alias("max_rate"), F.count_if(F.col("r") > bar).alias("above"))
+
+
 #: Modulus (a prime) and bases of the two polynomial hashes of a sequence.
 MODULUS = 2**31 - 1
 BASES = (1_000_003, 998_244_353)

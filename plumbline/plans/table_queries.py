@@ -59,6 +59,22 @@ def null_report(spark, d):
     return tidy(A.null_report(X.readings(spark, d), ["value", *DOSES]), "column kind", "", "null_share")
 
 
+_SHOWN = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", string_agg(v, '|' order by v) as examples from (select distinct cast({c} as varchar) as v from orders where {c} is not null order by v limit 5)" for c in _SHOWN))
+def profile_examples(spark, d):
+    return A.examples(T(spark, d, "orders"), list(_SHOWN)).select("column", F.array_join("examples", "|").alias("examples"))
+
+
+_ROWNULL = "((value is null)::int + (dose_a is null)::int + (dose_b is null)::int + (dose_c is null)::int) / 4.0e0"
+
+
+@query(twin(f"select count(*) as n, count(*) filter (where {_ROWNULL} > 0.3) as above, round(avg({_ROWNULL}), 6) + 0.0 as mean_rate, round(max({_ROWNULL}), 6) + 0.0 as max_rate from s", "s"))
+def null_rows(spark, d):
+    return tidy(A.null_rows(X.readings(spark, d), ["value", *DOSES], 0.3), "", "n above", "mean_rate max_rate")
+
+
 _TWO = """, a as (select unit_id, endpoint, avg(y_true) as v from labs where unit_id not like '%7' group by all), b as (select unit_id, endpoint, avg(y_true) + case when unit_id like '%3' then 0.5 else 0 end as v from labs where unit_id not like '%1' group by unit_id, endpoint)"""
 
 
