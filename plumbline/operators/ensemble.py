@@ -93,16 +93,32 @@ def _select(wide: DataFrame, groups: list[str], arms: list[str], steps: int, gai
     return state, best
 
 
+def z_space(wide: DataFrame, groups: list[str], arms: list[str]) -> DataFrame:
+    """The wide table with each arm brought to the mean and sd (ddof 0) of its group's labels; an arm that is constant there becomes their mean.
+
+    A blend's weights sum to one, so a blend of these columns is the blend of the arms' z scores on the scale of the labels.
+    """
+    every = [*arms, "y_true"]
+    moments = wide.groupBy(_group_key(groups).alias("_of")).agg(*[e for c in every for e in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    z = lambda a: F.when(F.col(f"_s_{a}") > 0, (F.col(a) - F.col(f"_m_{a}")) / F.col(f"_s_{a}")).when(F.col(a).isNotNull(), F.lit(0.0))
+    j = wide.withColumn("_of", _group_key(groups)).join(moments, "_of")
+    return j.select(*[(z(c) * F.col("_s_y_true") + F.col("_m_y_true")).alias(c) if c in arms else F.col(c) for c in wide.columns])
+
+
 def greedy_blend(
-    wide: DataFrame, groups: list[str], arms: list[str], steps: int = 50, gain: float = 1e-12, metric: str = "mae", macro: str | None = None, replacement: bool = True
+    wide: DataFrame, groups: list[str], arms: list[str], steps: int = 50, gain: float = 1e-12, metric: str = "mae", macro: str | None = None, replacement: bool = True, space: str = "raw"
 ) -> DataFrame:
     """``group, arm, count, weight, score``: forward selection from the best single arm for each group.
 
     With ``macro`` one blend is chosen for all parts that this column names (endpoints, say), by the mean of their scores, each
     part weighing the same however many rows it has. Without ``replacement`` an arm is taken once, so the members are a set. The
     table is written once; each step is one aggregation that scores all candidates of all groups at once, and only
-    (groups x arms) scores come to the driver. A group stops when no arm gains more than ``gain``.
+    (groups x arms) scores come to the driver. A group stops when no arm gains more than ``gain``. In ``space`` "z" the arms'
+    z scores within a group are blended, and read on the scale of its labels.
     """
+    if space not in ("raw", "z"):
+        raise ValueError(f"no such space: {space}")
+    wide = z_space(wide, groups, arms) if space == "z" else wide
     state, best = _select(wide, groups, arms, steps, gain, metric, macro, replacement, 0, None)
     rows = [(g, a, c, c / max(sum(state[g]), 1), best[g]) for g in sorted(state) for a, c in zip(arms, state[g])]
     return wide.sparkSession.createDataFrame(rows, "group string, arm string, count int, weight double, score double")

@@ -102,11 +102,24 @@ def fold_regressor(df: DataFrame, cols: list[str], target: str, folds: int, kind
     return out
 
 
-def recoverability(df: DataFrame, cols: list[str], target: str, folds: int) -> DataFrame:
-    """Cross-validated R2 of one column from others, by a linear model and by trees, and the larger of the two."""
+def recoverability(df: DataFrame, cols: list[str], target: str, folds: int, least: int = 100) -> DataFrame:
+    """``target, n, n_pred, linear, trees, r2``: cross-validated R2 of one column from others by a linear model on their ranks' z and by trees, and the larger of the two.
+
+    Only rows that have the target count, and of the columns those that vary on these rows. Under ``least`` rows, or without
+    such a column, the scores are null and no column counts. Rows that lack a predictor stand at its mean in the linear model and are left out by the trees.
+    """
+    df = df.where(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")))
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(f"v_{c}") for c in cols]).first()
+    cols = [c for c in cols if seen[f"v_{c}"]]
+    if seen["n"] < least or not cols:
+        return df.sparkSession.createDataFrame([(target, seen["n"], 0, None, None, None)], "target string, n long, n_pred int, linear double, trees double, r2 double")
+    ranked = df
+    for c in cols:
+        ranked = rank_z(ranked, [], c, f"z_{c}", 8).drop("rank_share")
     r2 = lambda d: d.agg((1 - F.sum((F.col("prediction") - F.col(target)) ** 2) / (F.count(F.lit(1)) * F.var_pop(target))).alias("r2"))
-    both = r2(fold_regressor(df, cols, target, folds, "ridge", reg=0.0)).select(F.col("r2").alias("linear")).crossJoin(r2(fold_regressor(df, cols, target, folds, "gbt")).select(F.col("r2").alias("trees")))
-    return both.select(F.lit(target).alias("target"), "linear", "trees", F.greatest("linear", "trees").alias("r2"))
+    both = r2(fold_regressor(ranked, [f"z_{c}" for c in cols], target, folds, "ridge", reg=0.0)).select(F.col("r2").alias("linear")).crossJoin(r2(fold_regressor(df, cols, target, folds, "gbt")).select(F.col("r2").alias("trees")))
+    counts = [F.lit(target).alias("target"), F.lit(seen["n"]).cast("long").alias("n"), F.lit(len(cols)).alias("n_pred")]
+    return both.select(*counts, "linear", "trees", F.greatest("linear", "trees").alias("r2"))
 
 
 def grid_landscape(df: DataFrame, cols: list[str], target: str, folds: int, regs: list[float]) -> DataFrame:

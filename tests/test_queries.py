@@ -6,7 +6,7 @@ from conftest import SMALL, same_rows
 from plumbline.plans import catalog
 
 NAMES = ["score_folds", "spearman", "kendall", "bootstrap_ci", "hard_easy", "compare_columns", "validated_join", "profile", "text_norm", "overlap_partition", "reconcile_censored", "best_threshold",
-         "child_aggs", "moment_tensor", "sim_join", "cosine_pairs", "nn_loo", "coupled_groups", "partition_agreement", "screen_split", "kde_weights", "rm_anova", "holm", "bh", "resid_corr", "subset_average", "offset_opt", "ols_recal", "rank_z", "stream_epochs"]
+         "child_aggs", "moment_tensor", "sim_join", "cosine_pairs", "nn_loo", "coupled_groups", "partition_agreement", "screen_split", "kde_weights", "rm_anova", "holm", "bh", "resid_corr", "subset_average", "greedy_z_first_step", "population_solve", "offset_opt", "ols_recal", "rank_z", "stream_epochs"]
 
 
 @pytest.mark.parametrize("name", NAMES)
