@@ -23,7 +23,7 @@ SIMILARITY = 0.8
 HASHES = 6
 #: Runs of shared shingles that a chain may join, so edits that a passage of one chain may have; longer ones come in parts.
 CHAIN = 64
-#: Shingles on each side of an open place that are searched for moved or repeated parts, in shortest passages.
+#: Shingles on each side of a place that are searched at a time for moved or repeated parts, in shortest passages.
 AROUND = 4
 #: Words of a bin in the join of a document's intervals.
 BIN = 64
@@ -218,8 +218,8 @@ def chained_passages(a: np.ndarray, b: np.ndarray, least: int, ca: np.ndarray, c
     """Like :func:`matching_passages`, for the ranges of a pair in which places ``ca`` of a and ``cb`` of b are known to agree.
 
     The shared runs that stand in one order in both are chained, and each chain is measured exactly, from every run to every
-    later one; the longest similar ones come out. Where parts are moved or repeat within a text and no chain is similar, the
-    neighbourhoods of the places are compared by :func:`matching_passages`' exact search.
+    later one; the longest similar ones come out. Where parts are moved or repeat within a text, the neighbourhoods of all
+    places that no passage so found holds are compared by :func:`matching_passages`' exact search.
     """
     if min(len(a), len(b)) < least:
         return []
@@ -258,13 +258,34 @@ def chained_passages(a: np.ndarray, b: np.ndarray, least: int, ca: np.ndarray, c
         out = [m for m in out if _alike(a[m[0] : m[1]], b[m[2] : m[3]])]
     elif not turns[-1] and n <= CHAIN:  # all is in one order, so nothing else can be similar
         return out
-    done: list[tuple[int, int]] = []
-    for i, k in sorted(set(zip(ca.tolist(), cb.tolist()))) if not out else ():
-        if any(abs(i - p) < least and abs(k - q) < least for p, q in done[-8:]) or any(x <= i < y and s <= k < e for x, y, s, e in out):
+    return out + _around(a, b, least, sorted(set(zip(ca.tolist(), cb.tolist()))), out)
+
+
+def _around(a: np.ndarray, b: np.ndarray, least: int, places: list[tuple[int, int]], found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Similar passages around the places that none of ``found`` holds, by the exact search in a neighbourhood of each.
+
+    A place within a shortest passage of one that was searched is not searched again. Where a passage reaches the end of its
+    neighbourhood, the place behind it is searched as well, so a longer passage comes in parts.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    searched: dict[tuple[int, int], tuple[int, int]] = {}  # at most one place a cell of the size of a shortest passage
+    todo = places[::-1]
+    while todo:
+        i, k = todo.pop()
+        cells = [(i // least + u, k // least + v) for u in (-1, 0, 1) for v in (-1, 0, 1)]
+        near = [searched[c] for c in cells if c in searched]
+        if any(abs(i - p) < least and abs(k - q) < least for p, q in near) or any(x <= i < y and s <= k < e for m in (found, out) for x, y, s, e in m):
             continue
-        done.append((i, k))
-        x, y = max(0, i - AROUND * least), max(0, k - AROUND * least)
-        out += [(x + c, x + d, y + e, y + f) for c, d, e, f in _bridged(a[x : i + AROUND * least], b[y : k + AROUND * least], least, [])]
+        searched[i // least, k // least] = i, k
+        x, s = max(0, i - AROUND * least), max(0, k - AROUND * least)
+        y, e = min(len(a), i + AROUND * least), min(len(b), k + AROUND * least)
+        for c, d, f, g in _bridged(a[x:y], b[s:e], least, []):
+            hit = x + c, x + d, s + f, s + g
+            out.append(hit)
+            if (hit[1] == y or hit[3] == e) and hit[1] < len(a) and hit[3] < len(b):
+                todo.append((hit[1], hit[3]))
+            if (hit[0] == x or hit[2] == s) and hit[0] and hit[2]:
+                todo.append((hit[0] - 1, hit[2] - 1))
     return out
 
 

@@ -166,6 +166,20 @@ def test_chains_agree_with_brute_force(moved):
     assert hits > 20
 
 
+def test_a_chain_does_not_hide_a_moved_passage():
+    """A pair that one chain links, with further passages whose parts are moved, one of them longer than a neighbourhood."""
+    for size in (46, 80, 600):
+        whole = np.arange(10_000, 10_000 + size)
+        a = np.concatenate([np.arange(100, 180), np.arange(1000, 1300), whole, np.arange(2000, 2050)])
+        b = np.concatenate([np.arange(3000, 3050), whole[size // 2 :], whole[: size // 2], np.arange(4000, 4300), np.arange(100, 180)])
+        places = [(i, int(np.flatnonzero(b == a[i])[0])) for i in range(0, len(a), 15) if a[i] in b]
+        got = substring_dedup.chained_passages(a, b, 46, *np.array(places).T)
+        held_a = {w for x, y, _, _ in got for w in a[x:y].tolist()}
+        held_b = {w for _, _, s, e in got for w in b[s:e].tolist()}
+        assert held_a & held_b >= {*range(100, 180), *whole.tolist()}
+        assert all(len({*a[x:y]} & {*b[s:e]}) >= 0.8 * len({*a[x:y]} | {*b[s:e]}) for x, y, s, e in got)
+
+
 def test_sparse_windows_equal_all_minima():
     rng = np.random.default_rng(5)
     for _ in range(60):
