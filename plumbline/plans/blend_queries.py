@@ -319,31 +319,34 @@ def root_scan(spark, d):
     return K.root_scan(p.groupBy("endpoint").agg(F.stddev_pop(e).alias("sd"), F.avg(F.abs(e)).alias("mae")))
 
 
+#: Offsets of the submissions whose population is solved for: an unbiased one has its solution at an end of the range, if any.
+MOVES = [-0.8, 0.0, 0.4, 0.8]
 _ERF = "(1 - ((((1.061405429e0 * {t} - 1.453152027e0) * {t} + 1.421413741e0) * {t} - 0.284496736e0) * {t} + 0.254829592e0) * {t} * exp(-{x} * {x}))"
-_SOLVE = f""", b as (select arm, endpoint, avg(y_pred) as mean, stddev_pop(y_pred) as sd, {corr_sql('y_true', 'y_pred')} as rho, 1 - avg((y_pred - y_true) ** 2) / var_pop(y_true) as r2, avg(abs(y_pred - y_true)) as mae from p where arm <> 'naive' group by 1, 2),
+_SOLVE = f""", m as (select arm, endpoint, y_true, moved, y_pred + moved as y_pred from p cross join (select unnest({MOVES!r}::double[]) as moved) where arm <> 'naive'), b as (select arm, endpoint, moved, avg(y_pred) as mean, stddev_pop(y_pred) as sd, {corr_sql('y_true', 'y_pred')} as rho, 1 - avg((y_pred - y_true) ** 2) / var_pop(y_true) as r2, avg(abs(y_pred - y_true)) as mae from m group by 1, 2, 3),
 kn as (select endpoint, avg(y_true) as km, stddev_pop(y_true) as ks from p where arm <> 'naive' group by 1),
 lim as (select *, greatest(rho - sqrt(greatest(rho ** 2 - r2, 0)), 1e-6) as low, rho + sqrt(greatest(rho ** 2 - r2, 0)) as high from b where rho ** 2 >= r2),
 gr as (select *, low + i * ((high - low) / 3999) as k from lim cross join generate_series(0, 3999) as t(i)),
 er as (select *, sqrt(greatest(2 * rho * k - k ** 2 - r2, 0)) * sd / k as m, greatest(sd / k * sqrt(greatest(1 - 2 * rho * k + k ** 2, 0)), 1e-12) as s from gr),
 ex as (select *, m / (s * sqrt(2.0e0)) as x, 1 / (1 + 0.3275911e0 * (m / (s * sqrt(2.0e0)))) as t from er),
 ga as (select *, s * sqrt(2 / pi()) * exp(-(m ** 2) / (2 * s ** 2)) + m * {_ERF.format(t='t', x='x')} - mae as y0 from ex),
-nx as (select *, lead(y0) over (partition by arm, endpoint order by i) as y1 from ga),
-fi as (select *, row_number() over (partition by arm, endpoint order by i) as n from nx where y0 = 0 or y0 * y1 < 0),
-so as (select arm, endpoint, low + (i + y0 / (y0 - y1)) * ((high - low) / 3999) as k from fi where n = 1),
-bi as (select b.*, km, ks, so.k, case when so.k is not null then sqrt(greatest(2 * rho * so.k - so.k ** 2 - r2, 0)) end as bias from b join kn using (endpoint) left join so on so.arm = b.arm and so.endpoint = b.endpoint),
+nx as (select *, lead(y0) over (partition by arm, endpoint, moved order by i) as y1 from ga),
+fi as (select *, row_number() over (partition by arm, endpoint, moved order by i) as n from nx where y0 = 0 or y0 * y1 < 0),
+so as (select arm, endpoint, moved, low + (i + y0 / (y0 - y1)) * ((high - low) / 3999) as k from fi where n = 1),
+bi as (select b.*, km, ks, so.k, case when so.k is not null then sqrt(greatest(2 * rho * so.k - so.k ** 2 - r2, 0)) end as bias from b join kn using (endpoint) left join so on so.arm = b.arm and so.endpoint = b.endpoint and so.moved = b.moved),
 me as (select *, sd / k as label_sd, mean + bias * sd / k as up, mean - bias * sd / k as dn from bi),
 pk as (select *, case when abs(up - km) <= abs(dn - km) then up else dn end as label_mean, case when abs(up - km) <= abs(dn - km) then dn else up end as mirror_mean from me),
 st as (select *, case when k is null then 'INFEASIBLE' when label_sd > 3 * ks or label_sd < 0.2 * ks or abs(label_mean - km) > 3 * ks then 'IMPLAUSIBLE' when abs(mirror_mean - km) / greatest(abs(label_mean - km), 1e-9) < 1.5 then 'AMBIGUOUS' else 'OK' end as status from pk)
-select arm, endpoint, status, {r('k bias label_sd label_mean mirror_mean', digits=5)} from st"""
+select arm, endpoint, moved, status, {r('k bias label_sd label_mean mirror_mean', digits=5)} from st"""
 
 
 @query(twin(_SOLVE, "p"))
 def population_solve(spark, d):
     p = X.predictions(spark, d).where("arm <> 'naive'")
+    m = p.select(*AE, "y_true", F.explode(F.array(*map(F.lit, MOVES))).alias("moved"), "y_pred").withColumn("y_pred", F.col("y_pred") + F.col("moved"))
     e = F.col("y_pred") - F.col("y_true")
-    b = p.groupBy(*AE).agg(F.avg("y_pred").alias("mean"), F.stddev_pop("y_pred").alias("sd"), F.corr("y_true", "y_pred").alias("rho"), (1 - F.avg(e**2) / F.var_pop("y_true")).alias("r2"), F.avg(F.abs(e)).alias("mae"))
+    b = m.groupBy(*AE, "moved").agg(F.avg("y_pred").alias("mean"), F.stddev_pop("y_pred").alias("sd"), F.corr("y_true", "y_pred").alias("rho"), (1 - F.avg(e**2) / F.var_pop("y_true")).alias("r2"), F.avg(F.abs(e)).alias("mae"))
     known = p.groupBy("endpoint").agg(F.avg("y_true").alias("mean"), F.stddev_pop("y_true").alias("sd"))
-    return tidy(P.solve_population(b, known, ["endpoint"]), "arm endpoint status", "", "k bias label_sd label_mean mirror_mean", 5)
+    return tidy(P.solve_population(b, known, ["endpoint"]), "arm endpoint moved status", "", "k bias label_sd label_mean mirror_mean", 5)
 
 
 @query()
