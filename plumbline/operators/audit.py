@@ -108,12 +108,15 @@ def expect_counts(df: DataFrame, keys: list[str], expected: DataFrame) -> DataFr
 
 
 def completeness(pred: DataFrame, expected: DataFrame, by: str, key: list[str], value: str) -> DataFrame:
-    """Per ``by``: expected keys without a prediction, predicted keys not expected, repeated keys, null predictions."""
-    grid = expected.select(*key).distinct().crossJoin(pred.select(by).distinct()).withColumn("_e", F.lit(1))
+    """Per ``by``: expected keys without a prediction, predicted keys not expected, repeated keys, null predictions.
+
+    What is missing is the number of expected keys less those found, so no grid of keys and groups is made. A null in a key matches nothing.
+    """
+    keys = expected.select(*key).distinct()
     got = pred.groupBy(by, *key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(value).isNull()).alias("_null"))
-    j = grid.join(got, [by, *key], "full")
+    j = got.join(keys.withColumn("_e", F.lit(1)), key, "left").crossJoin(keys.agg(F.count(F.lit(1)).alias("_of")))
     return j.groupBy(by).agg(
-        F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_e").isNull()).alias("unexpected"),
+        (F.max("_of") - F.count("_e")).alias("missing"), F.count_if(F.col("_e").isNull()).alias("unexpected"),
         F.count_if(F.col("_n") > 1).alias("repeated"), F.coalesce(F.sum("_null"), F.lit(0)).alias("nulls"))
 
 

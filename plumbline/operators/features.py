@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,22 +123,56 @@ def recoverability(df: DataFrame, cols: list[str], target: str, folds: int, leas
     return both.select(*counts, "linear", "trees", F.greatest("linear", "trees").alias("r2"))
 
 
+def fold_moments(df: DataFrame, cols: list[str], fold: str = "fold") -> DataFrame:
+    """``fold, n``, each column's mean (``m_i``) and the covariances of each pair (``c_i_j``, i <= j) over rows that have all of ``cols``: one pass."""
+    names = {c: F.col(c).cast("double") for c in cols}
+    whole = df.where(F.greatest(*[(x.isNull() | F.isnan(x)).cast("int") for x in names.values()], F.lit(0)) == 0)
+    pairs = [F.covar_pop(names[cols[i]], names[cols[j]]).alias(f"c_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+    return whole.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(names.values())], *pairs)
+
+
+def _ridge(parts: list[tuple[float, np.ndarray, np.ndarray]], reg: float) -> list[float]:
+    """Coefficients and intercept of a ridge on standardised columns (the last one is the target) from moments of disjoint parts.
+
+    The penalty is ``reg`` over the target's sd, as MLlib's ridge has it; a column that doesn't vary gets zero.
+    """
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    cov = sum(p[0] * (p[2] + np.outer(p[1] - mean, p[1] - mean)) for p in parts) / n
+    sd = np.sqrt(np.diag(cov))
+    live = np.flatnonzero(sd[:-1] > 1e-12 * np.maximum(np.abs(mean[:-1]), 1e-300))
+    w = np.zeros(len(mean) - 1)
+    if len(live) and sd[-1] > 0:
+        z = cov[np.ix_(live, live)] / np.outer(sd[live], sd[live]) + reg / sd[-1] * np.eye(len(live))
+        w[live] = np.linalg.lstsq(z, cov[live, -1] / (sd[live] * sd[-1]), rcond=None)[0] * sd[-1] / sd[live]
+    return [*w.tolist(), float(mean[-1] - w @ mean[:-1])]
+
+
 def grid_landscape(df: DataFrame, cols: list[str], target: str, folds: int, regs: list[float]) -> DataFrame:
     """``reg, fold, inner_mae, mae, winner`` of a ridge over a grid of penalties.
 
     The winner of a fold has the lowest error on an inner validation part (the next fold) of a model fit on the rest of the training
     side; the held-out fold takes no part in the choice. ``mae`` is the held-out error of the model fit on the whole training side.
+
+    Two passes for any grid: means and covariances of each fold, from which all models follow (folds x penalties rows of coefficients),
+    and one aggregation of all errors. Rows that lack a predictor or the target are left out. A model needs rows in another fold than the
+    held-out and the validation one, so at least three folds have rows; else ValueError.
     """
-    error = F.avg(F.abs(F.col("prediction") - F.col(target)))
-    out = None
-    for reg in regs:
-        outer = fold_regressor(df, cols, target, folds, "ridge", reg=reg).groupBy("fold").agg(error.alias("mae"))
-        inner = None
-        for k in range(folds):
-            side = df.where(F.col("fold") != k).withColumn("fold", (F.col("fold") != (k + 1) % folds).cast("int"))
-            p = fold_regressor(side, cols, target, 1, "ridge", reg=reg).agg(error.alias("inner_mae")).select(F.lit(k).alias("fold"), "inner_mae")
-            inner = p if inner is None else inner.unionByName(p)
-        one = inner.join(outer, "fold").select(F.lit(float(reg)).alias("reg"), "fold", "inner_mae", "mae")
-        out = one if out is None else out.unionByName(one)
+    p = len(cols) + 1
+    at = lambda r, i, j: r[f"c_{min(i, j)}_{max(i, j)}"]
+    part = {r["fold"]: (r["n"], np.array([r[f"m_{i}"] for i in range(p)]), np.array([[at(r, i, j) for j in range(p)] for i in range(p)])) for r in fold_moments(df, [*cols, target]).collect() if r["fold"] in range(folds)}  # a row for each fold
+    if len(part) < 3:
+        raise ValueError("at least three folds need rows")
+    fit = lambda out: [_ridge([m for f, m in part.items() if f not in out], reg) for reg in regs]
+    models = [(k, fit({k}), fit({(k - 1) % folds, k})) for k in range(folds)]  # of rows in fold k: held out, and validation for the fold before
+    models = df.sparkSession.createDataFrame(models, "fold int, outer array<array<double>>, inner array<array<double>>")
+    y, x = F.col(target).cast("double"), [F.col(c).cast("double") for c in cols]
+    whole = df.where(F.greatest(*[(c.isNull() | F.isnan(c)).cast("int") for c in [*x, y]], F.lit(0)) == 0)
+    j = whole.join(F.broadcast(models), "fold")  # folds x penalties x columns numbers
+    error = lambda side, g: F.avg(F.abs(sum((x[i] * F.col(side)[g][i] for i in range(len(cols))), F.col(side)[g][len(cols)]) - y))
+    g = j.groupBy("fold").agg(*[error(side, i).alias(f"{side}{i}") for side in ("outer", "inner") for i in range(len(regs))])
+    long = g.select("fold", F.explode(F.array(*[F.struct(F.lit(float(reg)).alias("reg"), F.col(f"outer{i}").alias("mae"), F.col(f"inner{i}").alias("inner_mae")) for i, reg in enumerate(regs)])).alias("z")).select("fold", "z.*")
+    inner = long.select(((F.col("fold") + folds - 1) % folds).cast("int").alias("fold"), "reg", "inner_mae")
+    out = long.select("fold", "reg", "mae").join(inner, ["fold", "reg"]).select("reg", "fold", "inner_mae", "mae")
     best = out.groupBy("fold").agg(F.min_by("reg", F.struct("inner_mae", "reg")).alias("best"))
     return out.join(best, "fold").select("reg", "fold", "inner_mae", "mae", (F.col("reg") == F.col("best")).alias("winner"))

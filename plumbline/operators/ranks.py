@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.sources.storage import materialise
+
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str, buckets: int = 1) -> DataFrame:
     """``df`` with the average rank of ``value`` within ``keys`` (ties share their mean rank; nulls get none).
@@ -46,6 +48,19 @@ def hash_number(df: DataFrame, keys: list[str], digest: Column, tie: str, out: s
     return numbered.withColumn(out, F.col("_r") + F.col("_below")).drop("_h", "_p", "_g", "_r", "_below")
 
 
+def order_number(df: DataFrame, keys: list[str], by: str, out: str) -> DataFrame:
+    """``df`` with each row's number (from 1) within ``keys`` in the order of ``by``, which may have any type that sorts.
+
+    The rows are cut into ranges of (keys, by) and written with their range's number: each range is numbered by itself and shifted by the
+    counts of the group's ranges below, so a group of any size is spread. Equal rows of a group are numbered in any order; null keys form a group.
+    """
+    cut = materialise(df.repartitionByRange(*keys, by).withColumn("_p", F.spark_partition_id()).withColumn("_g", F.struct(F.lit(True), *keys)), "ranges")
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    below = cut.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_n")).select("_g", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))
+    numbered = cut.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_p").orderBy(by))).join(below, ["_g", "_p"])
+    return numbered.withColumn(out, F.col("_r") + F.col("_below")).drop("_p", "_g", "_r", "_below")
+
+
 def safe_corr(a: Column | str, b: Column | str) -> Column:
     """Pearson correlation, null where a side is constant (to rounding)."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))

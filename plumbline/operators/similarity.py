@@ -68,6 +68,28 @@ def expand_pairs(linked: DataFrame, members: DataFrame) -> DataFrame:
     return cross.union(same)
 
 
+def class_pairs(linked: DataFrame, members: DataFrame) -> DataFrame:
+    """``sim, pairs``: how many pairs of ids have each similarity, from pairs of representatives and the sizes of their classes.
+
+    A class of m equal sets has m (m - 1) / 2 pairs at one; none is made.
+    """
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
+    m = lambda s: sizes.select(F.col("rep").alias(s), F.col("m").alias(f"m{s}"))
+    across = linked.join(m("a"), "a").join(m("b"), "b").select("sim", (F.col("ma") * F.col("mb")).alias("pairs"))
+    within = sizes.where("m > 1").select(F.lit(1.0).alias("sim"), F.expr("m * (m - 1) div 2").alias("pairs"))
+    return across.union(within).groupBy("sim").agg(F.sum("pairs").alias("pairs"))
+
+
+def class_links(linked: DataFrame, members: DataFrame) -> DataFrame:
+    """``id, rep, members, links``: each id with its class of equal sets, the class's size, and to how many other classes it is linked.
+
+    The links are counted by class before they meet the members, so a class with a third of all ids is read once.
+    """
+    links = linked.select("a").union(linked.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
+    classes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("members")).join(links, "rep", "left")
+    return members.select("id", "rep").join(classes, "rep").select("id", "rep", "members", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def unit_vectors(df: DataFrame, id_col: str, vec: str, *extra: str) -> DataFrame:
     norm = F.sqrt(F.aggregate(F.col(vec), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return df.select(F.col(id_col).alias("id"), *extra, F.transform(vec, lambda x: F.try_divide(x.cast("double"), norm)).alias("v"))

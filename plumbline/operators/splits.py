@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,28 +44,80 @@ def fold_balance(folds: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     return g.withColumn("share", share).withColumn("low", F.col("share") < 0.15)
 
 
-def group_folds(groups: DataFrame, group: str, k: int, repeats: int, largest_first: bool) -> DataFrame:
-    """``repeat_id, group, fold``: whole groups to the currently smallest fold, in a hash order or the largest first.
+def _turns(at: np.ndarray, size: np.ndarray, loads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of one ``size`` go one after the other to the fold of smallest load (the first of equal ones), from ``loads`` on.
 
-    Spark reduces the units to group sizes; only these go through the sequential fill of a repeat.
+    Returns the fold of group number ``at`` (from 0), and how many groups each fold got before it. Fold f's j-th group comes when its
+    load is loads[f] + j size, so the order is that of these numbers: the at-th smallest is found by halving.
+    """
+    size = size[:, None]
+    before = lambda v: -(np.minimum(loads - v[:, None], 0) // size)  # noqa: E731  groups that each fold takes below load v
+    low, high = loads.min(axis=1), loads.max(axis=1) + (at + 1) * size[:, 0]
+    while (high - low > 1).any():
+        mid = (low + high) // 2
+        few = before(mid).sum(axis=1) <= at
+        low, high = np.where(few, mid, low), np.where(few, high, mid)
+    got = before(low)
+    due = (loads <= low[:, None]) & ((low[:, None] - loads) % size == 0)
+    rank = due.cumsum(axis=1)
+    left = (at - got.sum(axis=1))[:, None]
+    return (due & (rank == left + 1)).argmax(axis=1), got + (due & (rank <= left))
+
+
+def _first_loads(counts: DataFrame, k: int) -> DataFrame:
+    """``n, loads``: the folds' loads before the first group of each size, from the number of groups of each size, largest first.
+
+    N units have fewer than sqrt(2 N) distinct sizes; these pass through one task as a stream.
     """
-    sizes = groups.groupBy(F.col(group).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_id"))
 
-    def fill(d: pd.DataFrame) -> pd.DataFrame:
-        from hashlib import md5
+    def walk(batches):
+        loads = np.zeros(k, np.int64)
+        for d in batches:
+            starts = []
+            for size, c in zip(d["n"], d["c"]):
+                starts.append(loads)
+                got = _turns(np.array([c]), np.array([size]), loads[None])[1][0]
+                loads = loads + size * got
+            yield pd.DataFrame({"n": d["n"], "loads": starts})
 
-        rep = int(d["repeat_id"].iloc[0])
-        d = d.assign(h=[md5(f"{g}:{rep}".encode()).hexdigest() for g in d["g"]])
-        d = d.sort_values(["n", "h"], ascending=[False, True]) if largest_first else d.sort_values("h")
-        load, fold = np.zeros(k, np.int64), []
-        for size in d["n"]:
-            f = int(load.argmin())
-            load[f] += size
-            fold.append(f)
-        return d.assign(fold=fold)[["repeat_id", "g", "n", "fold"]]
+    return counts.repartition(1).sortWithinPartitions(F.col("n").desc()).mapInPandas(walk, "n long, loads array<long>")
 
-    return rows.groupBy("repeat_id").applyInPandas(fill, "repeat_id int, g string, n long, fold int")
+
+def group_folds(groups: DataFrame, group: str, k: int, repeats: int, largest_first: bool) -> DataFrame:
+    """``repeat_id, g, n, fold``: whole groups to the currently smallest fold, in a hash order or the largest first.
+
+    Spark reduces the units to group sizes. Largest first, groups of one size follow each other, so what the folds hold before them depends
+    on the sizes alone, and each group finds its fold from its number among the groups of its size, in any task. In a hash order each
+    group depends on all before it: one task for each repeat reads them as a sorted stream and holds one batch. Units without a group
+    are one group; no unit gives an empty result.
+    """
+    sizes = groups.groupBy(F.col(group).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_id"), "g", "n")
+    digest = F.md5(F.concat(F.coalesce("g", F.lit("")), F.lit(":"), F.col("repeat_id").cast("string")))
+    out = "repeat_id int, g string, n long, fold int"
+    if largest_first:
+        starts = _first_loads(sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")), k)
+        numbered = hash_number(rows, ["repeat_id", "n"], digest, "g", "at", "_of").join(starts, "n").select("repeat_id", "g", "n", "at", "loads")
+
+        def place(batches):
+            for d in batches:
+                if len(d):
+                    fold = _turns(d["at"].to_numpy() - 1, d["n"].to_numpy(), np.stack(d["loads"].to_list()))[0]
+                    yield d[["repeat_id", "g", "n"]].assign(fold=fold)
+
+        return numbered.mapInPandas(place, out)
+
+    def fill(batches):
+        loads: dict[int, np.ndarray] = {}
+        for d in batches:
+            fold = []
+            for repeat, size in zip(d["repeat_id"], d["n"]):
+                load = loads.setdefault(repeat, np.zeros(k, np.int64))
+                fold.append(int(load.argmin()))
+                load[fold[-1]] += size
+            yield d[["repeat_id", "g", "n"]].assign(fold=fold)
+
+    return rows.withColumn("h", digest).repartition("repeat_id").sortWithinPartitions("repeat_id", "h", "g").mapInPandas(fill, out)
 
 
 def split_groups(df: DataFrame, group: str) -> DataFrame:
@@ -76,17 +126,41 @@ def split_groups(df: DataFrame, group: str) -> DataFrame:
     return g.groupBy("repeat_id").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("f") > 1).alias("n_split"))
 
 
+def _best_matching(gain: np.ndarray) -> float:
+    """The largest sum of a square table with one cell from each row and column (Hungarian method with potentials)."""
+    n = len(gain)
+    cost = gain.max() - gain
+    row, col, owner = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)  # place 0 is the start of a path
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, back, done = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while owner[at]:
+            done[at] = True
+            slack = cost[owner[at] - 1] - row[owner[at]] - col[1:]
+            better = ~done[1:] & (slack < least[1:])
+            least[1:][better], back[1:][better] = slack[better], at
+            nearest = int(np.where(done, np.inf, least)[1:].argmin()) + 1
+            step = least[nearest]
+            np.add.at(row, owner[done], step)
+            col[done] -= step
+            least[~done] -= step
+            at = nearest
+        while at:
+            owner[at], at = owner[back[at]], back[at]
+    return float(sum(gain[owner[j] - 1, j - 1] for j in range(1, n + 1)))
+
+
 def partition_agreement(a: DataFrame, b: DataFrame, id_col: str, k: int) -> DataFrame:
-    """Share of equal folds, and the best share over all relabellings (k! columns of one small table)."""
+    """Share of equal folds, and the best share over all relabellings: a matching in the k x k table of counts. Null without common ids."""
     cells = a.select(id_col, F.col("fold").alias("x")).join(b.select(id_col, F.col("fold").alias("y")), id_col).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    perms = df_of(cells, [(i, x, y) for i, p in enumerate(permutations(range(k))) for x, y in enumerate(p)])
-    total = cells.agg(F.sum("n").alias("t"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("same"))
-    best = cells.join(F.broadcast(perms), ["x", "y"]).groupBy("i").agg(F.sum("n").alias("m")).agg(F.max("m").alias("best"))
-    return total.crossJoin(best).select((F.col("same") / F.col("t")).alias("same_share"), (F.col("best") / F.col("t")).alias("best_share"))
 
+    def match(d: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((k, k))
+        table[d["x"], d["y"]] = d["n"]
+        return pd.DataFrame({"same_share": [np.trace(table) / table.sum()], "best_share": [_best_matching(table) / table.sum()]})
 
-def df_of(like: DataFrame, rows: list[tuple]) -> DataFrame:
-    return like.sparkSession.createDataFrame(rows, "i int, x int, y int")
+    found = cells.groupBy().applyInPandas(match, "same_share double, best_share double")
+    return found.agg(F.max("same_share").alias("same_share"), F.max("best_share").alias("best_share"))
 
 
 def screen_split(folds: DataFrame, id_col: str, test_fold: int, val_share: float, salt: str = ":v") -> DataFrame:

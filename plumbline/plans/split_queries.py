@@ -39,16 +39,28 @@ def set_fingerprint(spark, d):
 _JP = f"with {_TOK}, j as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.tokens, b.tokens)) as common, len(a.tokens) as na, len(b.tokens) as nb from tok a join tok b on a.doc_id < b.doc_id and least(len(a.tokens), len(b.tokens)) >= 0.8 * greatest(len(a.tokens), len(b.tokens)) where len(a.tokens) > 0 and len(b.tokens) > 0), p as (select a, b, common, common / (na + nb - common)::double as sim from j)"
 
 
-@query(_JP + " select a, b, round(sim, 6) + 0.0 as sim from p where sim >= 0.8")
+_JC = f"with {_TOK}, c as (select list_sort(tokens) as tokens, min(doc_id) as rep, count(*) as m from tok where len(tokens) > 0 group by 1), p as (select a.rep as a, b.rep as b, a.m as ma, b.m as mb, len(list_intersect(a.tokens, b.tokens)) as common, len(a.tokens) as na, len(b.tokens) as nb from c a join c b on a.rep < b.rep and least(len(a.tokens), len(b.tokens)) >= 0.8 * greatest(len(a.tokens), len(b.tokens))), l as (select a, b, common, common / (na + nb - common)::double as sim from p where common / (na + nb - common)::double >= 0.8)"
+
+
+@query(_JC + " select a, b, cast(common as bigint) as common, round(sim, 6) + 0.0 as sim from l")
 def sim_join(spark, d):
+    """Linked pairs of classes of equal token sets, by their smallest doc_id; ``sim_classes`` has the members."""
+    linked, _ = E.jaccard_pairs(documents(spark, d), "doc_id", "tokens", 0.8)
+    return tidy(linked, "a b", "common", "sim")
+
+
+@query(_JC + ", k as (select rep, count(*) as links from (select a as rep from l union all select b from l) group by 1) select doc_id, c.rep, c.m as members, coalesce(links, 0) as links from tok join c on list_sort(tok.tokens) = c.tokens left join k on k.rep = c.rep")
+def sim_classes(spark, d):
+    """Each document with its class of equal token sets and the class's links."""
     linked, members = E.jaccard_pairs(documents(spark, d), "doc_id", "tokens", 0.8)
-    return tidy(E.expand_pairs(linked, members), "a b", "", "sim")
+    return E.class_links(linked, members).withColumnRenamed("id", "doc_id")
 
 
 @query(_JP + " select count(*) as n_pairs, round(avg(sim), 6) + 0.0 as mean, round(median(sim), 6) + 0.0 as middle from p where sim >= 0.8")
 def jaccard_pairs(spark, d):
-    linked, members = E.jaccard_pairs(documents(spark, d), "doc_id", "tokens", 0.8)
-    return tidy(E.expand_pairs(linked, members).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("sim").alias("mean"), F.median("sim").alias("middle")), "", "n_pairs", "mean middle")
+    """Summary over all pairs of documents, from class sizes."""
+    w = E.class_pairs(*E.jaccard_pairs(documents(spark, d), "doc_id", "tokens", 0.8))
+    return tidy(w.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"), F.try_divide(F.sum(F.col("sim") * F.col("pairs")), F.sum("pairs")).alias("mean"), F.percentile("sim", 0.5, F.col("pairs")).alias("middle")), "", "n_pairs", "mean middle")
 
 
 def near_pairs(spark, d):
