@@ -85,7 +85,7 @@ def features(texts: list[str | None], dims: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _ftrl(texts: list[str | None], labels: np.ndarray, o: Options) -> np.ndarray:
-    """Weights after ``epochs`` passes in the order given; a feature's value is its share of the text's features."""
+    """Weights after ``epochs`` passes in the order given; a feature's value is its count over the root of the text's number of features, however long the text."""
     z, n = np.zeros(o.dims), np.zeros(o.dims)
     idx, sizes = features(texts, o.dims)
     ends = np.cumsum(sizes)

@@ -278,7 +278,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     ``path`` is a byte-level BPE file (tokenizers' JSON) that each worker can read. Texts are cut into chunks
     of characters; each chunk yields the map from the state before it to the state after it, and a
     prefix scan over these maps gives all chunks their entry states, so that very long texts have no serial pass.
-    Null and empty texts have no token. Repeated rows and rows without an id each come out.
+    Null and empty texts have no token. Repeated rows and rows without an id each come out; other columns are left aside; an empty
+    table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
