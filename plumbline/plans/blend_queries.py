@@ -183,8 +183,7 @@ def distinct_objects(spark, d):
 @query(twin(f", v as (select endpoint, 3 * deadzone - 2 as sent, plain, deadzone, tree from w), k as (select endpoint, {rank_sql('sent', 'endpoint')} as s, " + ", ".join(f"{rank_sql(a, 'endpoint')} as {a}" for a in ("plain", "deadzone", "tree")) + " from v) select endpoint, unnest(['plain', 'deadzone', 'tree']) as model, unnest([corr(s, plain) > 1 - 1e-9, corr(s, deadzone) > 1 - 1e-9, corr(s, tree) > 1 - 1e-9]) as origin from k group by endpoint", "w"))
 def trace_origin(spark, d):
     v = X.wide(spark, d).select("endpoint", (3 * F.col("deadzone") - 2).alias("sent"), "plain", "deadzone", "tree")
-    for c in ("sent", "plain", "deadzone", "tree"):
-        v = R.average_rank(v, ["endpoint"], c, f"r_{c}", 4)
+    v = R.average_ranks(v, ["endpoint"], {c: f"r_{c}" for c in ("sent", "plain", "deadzone", "tree")})
     g = v.groupBy("endpoint").agg(*[F.corr("r_sent", f"r_{c}").alias(c) for c in ("plain", "deadzone", "tree")])
     return g.unpivot(["endpoint"], ["plain", "deadzone", "tree"], "model", "c").select("endpoint", "model", (F.col("c") > 1 - 1e-9).alias("origin"))
 
