@@ -123,35 +123,92 @@ def column_moments(df: DataFrame, col: str) -> DataFrame:
     return long.groupBy("feature").agg(F.count("x").alias("n"), F.percentile_approx("x", 0.5, 10_000).alias("middle"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
 
 
+def _parts(batches: Iterator[pd.DataFrame], col: str, width: int, rows: int = 1024) -> Iterator[np.ndarray]:
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield _stacked(b[col].iloc[k : k + rows], width)
+
+
+def _counts(df: DataFrame, col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column the number of values that are there and their sum: one row a task, two numbers a column."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = np.zeros(width), np.zeros(width)
+        for x in _parts(batches, col, width):
+            n += (~np.isnan(x)).sum(axis=0)
+            total += np.nansum(x, axis=0)
+        yield pd.DataFrame({"feature": np.arange(width), "n": n, "total": total})
+
+    found = df.select(col).mapInPandas(add, "feature int, n double, total double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas().set_index("feature").reindex(range(width))
+    return found["n"].fillna(0.0).to_numpy(), found["total"].fillna(0.0).to_numpy()
+
+
+def _whole_products(df: DataFrame, col: str, width: int, shift: np.ndarray, middle: np.ndarray, block: int) -> DataFrame:
+    """``i, j, n, sums, products`` of pairs of column blocks (i <= j) of rows about ``shift``, missing values at ``middle``.
+
+    No value is missing then, so one product a pair is all: a quarter of what :func:`gram_blocks` makes, and for i <= j only.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((shift, middle))
+    pairs = [(i, j) for i in range(-(-width // block)) for j in range(i, -(-width // block))]
+    strip = max(1, HELD // (block * block))
+    schema = "i int, j int, n double, sums array<double>, products array<double>"
+
+    def add_to(own: list[tuple[int, int]]):
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, n, sums = {}, 0, np.zeros(width)
+            for x in _parts(batches, col, width):
+                x = np.where(np.isnan(x), shared.value[1], x) - shared.value[0]
+                n, sums = n + len(x), sums + x.sum(axis=0)
+                for i, j in own:
+                    new = x[:, i * block : (i + 1) * block].T @ x[:, j * block : (j + 1) * block]
+                    held[i, j] = held[i, j] + new if (i, j) in held else new
+            cut = lambda i: sums[i * block : (i + 1) * block]
+            for i, j in held:
+                yield pd.DataFrame([(i, j, float(n), cut(i), held[i, j].ravel())], columns=["i", "j", "n", "sums", "products"])
+
+        return add
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        sums = [np.sum(np.stack(rows[c].tolist()), axis=0) for c in ("sums", "products")]
+        return pd.DataFrame([(rows["i"].iat[0], rows["j"].iat[0], rows["n"].sum(), *sums)], columns=["i", "j", "n", "sums", "products"])
+
+    part = None
+    for a in range(0, len(pairs), strip):
+        some = df.select(col).mapInPandas(add_to(pairs[a : a + strip]), schema)
+        part = some if part is None else part.union(some)
+    part = part.withColumn("_s", F.pmod(F.xxhash64("sums"), F.lit(16)))  # as in _products
+    some = part.groupBy("i", "j", "_s").applyInPandas(lambda rows: total(rows), schema)
+    return some.groupBy("i", "j").applyInPandas(lambda rows: total(rows), schema)
+
+
 def components(df: DataFrame, col: str, width: int, block: int = BLOCK, shares: tuple[float, ...] = (0.9, 0.95, 0.99)) -> tuple[DataFrame, DataFrame]:
     """Explained variance ``component, share, cumulative``, and ``wanted, components`` needed for each of ``shares``.
 
     Missing values take the column's median (columns without any value go), columns are standardised (constant ones become zero), and the
-    components are those of the Gram matrix of what results. The table is read for the medians and for the products; the matrix of
-    ``width`` squared comes to the driver, which bounds ``width`` to about ten thousand.
+    components are those of the Gram matrix of what results. The table is read for counts and means, where columns have missing values for
+    the medians of these, and for the products; the matrix of ``width`` squared comes to the driver, which bounds ``width`` to about ten thousand.
     """
     if width > 10_000:
         raise ValueError("the matrix of so many columns doesn't fit the driver")
     spark = df.sparkSession
-    m = column_moments(df, col).toPandas().set_index("feature").reindex(range(width))
-    there = m["n"].fillna(0).to_numpy() > 0
-    middle = m["middle"].fillna(0.0).to_numpy()
-    shared = spark.sparkContext.broadcast(middle)
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = _stacked(b[col], width)
-            yield pd.DataFrame({col: list(np.where(np.isnan(x), shared.value, x) - shared.value)})  # about the median, for small sums
-
-    rows = gram_blocks(df.select(col).mapInPandas(fill, f"`{col}` array<double>"), col, width, block)
-    gram, sums, n = np.zeros((width, width)), np.zeros(width), 0.0
-    for r in rows.where("i <= j").select("i", "j", "products", F.when(F.col("i") == F.col("j"), F.col("sums")).alias("sums"), F.col("both")[0].alias("n")).toLocalIterator():
+    df = materialise(df.select(col), "components-rows")  # read two or three times
+    count, total = _counts(df, col, width)
+    rows_n = df.count()
+    there, n = count > 0, 0.0
+    shift = np.where(there, total / np.maximum(count, 1), 0.0)  # for small sums
+    middle = shift.copy()
+    gaps = np.flatnonzero(there & (count < rows_n))
+    if len(gaps):
+        wanted = F.broadcast(spark.createDataFrame([(int(k),) for k in gaps], "feature int"))  # column numbers
+        long = df.select(F.posexplode(col).alias("feature", "x")).join(wanted, "feature").where("x is not null and not isnan(x)")
+        for r in long.groupBy("feature").agg(F.percentile_approx("x", 0.5, 10_000).alias("middle")).collect():
+            middle[r["feature"]] = r["middle"]
+    gram, sums = np.zeros((width, width)), np.zeros(width)
+    for r in _whole_products(df, col, width, shift, middle, block).toLocalIterator():
         p, q = (slice(k * block, min(width, (k + 1) * block)) for k in (r["i"], r["j"]))
         gram[p, q] = np.reshape(r["products"], (p.stop - p.start, q.stop - q.start))
         gram[q, p] = gram[p, q].T
-        n = r["n"]
-        if r["sums"]:
-            sums[p] = np.reshape(r["sums"], (p.stop - p.start, -1))[:, 0]
+        n, sums[p] = r["n"], r["sums"]
     if not n:
         return spark.createDataFrame([], "component int, share double, cumulative double"), spark.createDataFrame([], "wanted double, components int")
     cov = gram / n - np.outer(sums / n, sums / n)

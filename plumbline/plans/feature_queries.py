@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.operators import features as K
@@ -130,12 +132,17 @@ r as (select p.a, p.b, n.n, (xy - u.s * v.s / n) / sqrt((u.ss - u.s * u.s / n) *
 def _hashed(spark, d):
     """A row of WIDTH word counts for each document, by hash."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
-    bucket = (F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("long") % WIDTH).cast("int")
-    doc = T(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    counts = doc.select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", bucket.alias("f")).agg(F.count(F.lit(1)).cast("double").alias("x"))
-    own = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("f", "x"))).alias("own"))  # at most WIDTH entries
-    row = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.coalesce(F.try_element_at("own", k), F.lit(0.0)))
-    return doc.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", F.when(F.col("own").isNull(), F.array_repeat(F.lit(0.0), WIDTH)).otherwise(row).alias("x"))
+    bucket = lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % WIDTH).cast("int")
+    doc = T(spark, d, "documents").where("text is not null").select("doc_id", F.transform(words, bucket).alias("f"))
+    doc = doc.groupBy("doc_id").agg(F.flatten(F.collect_list("f")).alias("f"))
+
+    def count(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                b = batch.iloc[k : k + 512]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "x": [np.bincount(np.asarray(f, np.int64), minlength=WIDTH).astype(float) for f in b["f"]]})
+
+    return doc.mapInPandas(count, "doc_id long, x array<double>")
 
 
 @query(_HASHED + " select cast(a as integer) as a, cast(b as integer) as b, n, round(rho, 6) + 0.0 as rho from r where rho >= 0.6")
