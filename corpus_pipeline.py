@@ -7,7 +7,10 @@ at each stage, as their operators say; an empty table gives an empty result of t
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm import bpe_codec, line_dedup, quality_rules, simhash, source_mixing
 from plumbline.sources.storage import materialise, release, scratch
@@ -36,11 +39,27 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return source_mixing.mixed_stream(docs)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, place``: each row's place (from 0) in the order of the table's files, null where the table isn't one of Parquet files.
+
+    A file's rows have their number in it; what lies before a file comes from the counts of the files, for which no column is read.
+    """
+    row = docs.select("doc_id", "text")
+    try:
+        at = docs.metadataColumn("_metadata")
+        row = docs.select("doc_id", "text", at["file_name"].alias("file"), at["row_index"].alias("row"))
+        files = docs.select(at["file_name"].alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    except AnalysisException:
+        return row.withColumn("place", F.lit(None).cast("long"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    return row.join(F.broadcast(files.select("f", before.alias("before"))), F.col("file") == F.col("f")).select("doc_id", "text", (F.col("before") + F.col("row")).alias("place"))
+
+
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to, one row for each row given."""
+    """Token counts and digests of the ids and of what they decode to, one row for each row given, with its place in the mixed stream."""
     import public_tokenizers
 
-    return bpe_codec.round_trip(docs, public_tokenizers.path(bpe_codec.VOCABULARY), public_tokenizers.PATTERN)
+    return bpe_codec.round_trip(placed(docs), public_tokenizers.path(bpe_codec.VOCABULARY), public_tokenizers.PATTERN, place_col="place")
 
 
 STAGES = [

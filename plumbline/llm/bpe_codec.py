@@ -256,8 +256,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("id", "ids").mapInPandas(run, "id long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row, as from :func:`encode` and then :func:`decode`.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row (and ``place``, the long column ``place_col``, where one is named), as from :func:`encode` and then :func:`decode`.
 
     Both run in one worker for each task, which has one DuckDB connection, and only digests go back. Null and empty texts
     have no tokens and the digests of no bytes; repeated rows, rows without an id and very long texts come out like any
@@ -278,10 +278,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                         "ids_sha256": [sha256(x).hexdigest() for x in ids],
                         "decoded_sha256": [sha256(x).hexdigest() for x in c.decode(ids)],
                     }
+                    | ({"place": b["place"].iloc[s].astype("Int64")} if place_col else {})
                 )
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(place_col).alias("place")] if place_col else []))
+    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", place long" if place_col else ""))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
