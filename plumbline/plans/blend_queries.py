@@ -372,5 +372,5 @@ def rho_proxy(spark, d):
 @query(twin(f", v as (select endpoint, repeat_id, plain as a, 1.5 * plain - 2 as b from w), k as (select *, {rank_sql('a', 'endpoint, repeat_id')} as ra, {rank_sql('b', 'endpoint, repeat_id')} as rb from v) select endpoint, repeat_id, bool_and(ra = rb) as same_ranks, count(*) as n from k group by 1, 2", "w"))
 def rank_invariance(spark, d):
     v = X.wide(spark, d).select("endpoint", "repeat_id", F.col("plain").alias("a"), (1.5 * F.col("plain") - 2).alias("b"))
-    v = R.average_rank(R.average_rank(v, ["endpoint", "repeat_id"], "a", "ra"), ["endpoint", "repeat_id"], "b", "rb")
+    v = R.average_ranks(v, ["endpoint", "repeat_id"], {"a": "ra", "b": "rb"})
     return v.groupBy("endpoint", "repeat_id").agg(F.bool_and(F.col("ra") == F.col("rb")).alias("same_ranks"), F.count(F.lit(1)).alias("n"))
