@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.errors import soft_error
 from plumbline.operators.ranks import safe_corr
+from plumbline.sources.storage import materialise
 
 
 def r2_decomposition(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,9 +41,9 @@ def sweep(df: DataFrame, keys: list[str], grid: list[tuple[float, float]]) -> Da
     """``keys, offset, scale, st_rae, r2`` of predictions moved by each offset and spread by each scale about their mean.
 
     R2 needs moments only. Soft errors are a column of one aggregation for each grid point, so the rows are read once and never
-    exploded; the denominator's mean comes from a first small aggregation.
+    exploded; the denominator's mean comes from a first small aggregation, which is written so that the rows need not be dealt by group to join it.
     """
-    m = df.groupBy(*keys).agg(F.avg("y_true").alias("_my"), F.avg("y_pred").alias("_mp"))
+    m = materialise(df.groupBy(*keys).agg(F.avg("y_true").alias("_my"), F.avg("y_pred").alias("_mp")), "means")
     j = df.join(m, keys)
     aggs = [F.sum(soft_error(F.col("_mp") + s * (F.col("y_pred") - F.col("_mp")) + o, "conf_low", "conf_high")).alias(f"e{i}") for i, (o, s) in enumerate(grid)]
     g = j.groupBy(*keys).agg(
@@ -60,7 +61,7 @@ def widen(df: DataFrame, keys: list[str], targets: DataFrame, bar: float) -> Dat
     """Predictions spread about their mean to a target sd ratio (``endpoint, ratio``) where the relative gap is ``bar`` or more."""
     g = df.groupBy(*keys).agg(F.avg("y_pred").alias("_m"), F.try_divide(F.stddev_samp("y_pred"), F.stddev_samp("y_true")).alias("_r")).join(targets, "endpoint")
     factor = F.when(F.abs(F.col("ratio") - F.col("_r")) / F.col("ratio") >= bar, F.try_divide("ratio", "_r")).otherwise(F.lit(1.0))
-    return df.join(g.select(*keys, "_m", factor.alias("factor")), keys).withColumn("y_wide", F.col("_m") + F.coalesce("factor", F.lit(1.0)) * (F.col("y_pred") - F.col("_m"))).drop("_m")
+    return df.join(materialise(g.select(*keys, "_m", factor.alias("factor")), "factors"), keys).withColumn("y_wide", F.col("_m") + F.coalesce("factor", F.lit(1.0)) * (F.col("y_pred") - F.col("_m"))).drop("_m")
 
 
 def partial_correction(decomposed: DataFrame, strengths: list[float]) -> DataFrame:

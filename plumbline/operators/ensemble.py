@@ -48,7 +48,7 @@ def _scores(wide: DataFrame, groups: list[str], arms: list[str], state: dict[str
     rows = [(g, g.split("#")[0], [float(c) for c in counts], float(sum(counts))) for g, counts in state.items()]
     states = spark.createDataFrame(rows, "state string, of string, counts array<double>, size double")
     parts = ["state", *([macro] if macro else [])]
-    j = wide.withColumn("of", _group_key(groups)).join(states, "of")
+    j = wide.withColumn("of", _group_key(groups)).join(F.broadcast(states), "of")  # a row for each blend, made by the driver
     total = sum((F.get("counts", F.lit(i)) * F.col(a) for i, a in enumerate(arms)), F.lit(0.0))
     j = j.withColumn("total", total)
     blends = {a: (F.col("total") + F.col(a)) / (F.col("size") + 1) for a in arms} | {"as_is": F.try_divide("total", "size")}
@@ -56,7 +56,7 @@ def _scores(wide: DataFrame, groups: list[str], arms: list[str], state: dict[str
         scored = j.groupBy(*parts).agg(*[F.avg(F.abs(p - F.col("y_true"))).alias(a) for a, p in blends.items()])
     else:
         means = wide.withColumn("of", _group_key(groups)).groupBy("of", *parts[1:]).agg(F.avg("y_true").alias("mean"))
-        j = j.join(means, ["of", *parts[1:]])
+        j = j.join(materialise(means, "means"), ["of", *parts[1:]])  # a row for each group: as a written table its size is known
         base = F.sum(soft_error("mean", "conf_low", "conf_high"))
         scored = j.groupBy(*parts).agg(*[F.try_divide(F.sum(soft_error(p, "conf_low", "conf_high")), base).alias(a) for a, p in blends.items()])
     found = scored.groupBy("state").agg(*[F.avg(a).alias(a) for a in blends]).collect()
@@ -101,7 +101,7 @@ def z_space(wide: DataFrame, groups: list[str], arms: list[str]) -> DataFrame:
     every = [*arms, "y_true"]
     moments = wide.groupBy(_group_key(groups).alias("_of")).agg(*[e for c in every for e in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     z = lambda a: F.when(F.col(f"_s_{a}") > 0, (F.col(a) - F.col(f"_m_{a}")) / F.col(f"_s_{a}")).when(F.col(a).isNotNull(), F.lit(0.0))
-    j = wide.withColumn("_of", _group_key(groups)).join(moments, "_of")
+    j = wide.withColumn("_of", _group_key(groups)).join(materialise(moments, "moments"), "_of")
     return j.select(*[(z(c) * F.col("_s_y_true") + F.col("_m_y_true")).alias(c) if c in arms else F.col(c) for c in wide.columns])
 
 

@@ -12,28 +12,31 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.errors import soft_error
 from plumbline.operators.ranks import average_rank, safe_corr, spearman
+from plumbline.sources.storage import materialise
 
 
 def score(df: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, n, st_rae, mae, rmse, bias, r2, pearson`` of ``y_pred`` against ``y_true, conf_low, conf_high``.
 
     ST-RAE is the sum of soft errors over that of a constant predictor at the group's own mean, null where this is zero.
-    The means are a first aggregation whose result (a row for each group) joins back, so that both passes combine before
-    they shuffle and no group is gathered in one task. Rows without a label or prediction don't count.
+    The means are a first aggregation that is written (a row for each group) and joins back, so that both passes combine before
+    they shuffle: Spark knows the written table's size and need not deal all rows by group to join it. Rows without a label or
+    prediction don't count; they are left out by the sums, as a filter would compute the prediction a second time.
     """
-    rows = df.where("y_true is not null and y_pred is not null")
-    means = rows.groupBy(*keys).agg(F.avg("y_true").alias("_m"))
-    err = F.col("y_pred") - F.col("y_true")
+    there = F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()
+    means = materialise(df.where(there).groupBy(*keys).agg(F.avg("y_true").alias("_m")), "means")
+    err, n = F.when(there, F.col("y_pred") - F.col("y_true")), F.count(F.when(there, 1))
+    soft = lambda c: F.sum(F.when(there, soft_error(c, "conf_low", "conf_high")))
     return (
-        rows.join(means, keys)
+        df.join(means, keys)
         .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.try_divide(F.sum(soft_error("y_pred", "conf_low", "conf_high")), F.sum(soft_error("_m", "conf_low", "conf_high"))).alias("st_rae"),
+            n.alias("n"),
+            F.try_divide(soft("y_pred"), soft("_m")).alias("st_rae"),
             F.avg(F.abs(err)).alias("mae"),
             F.sqrt(F.avg(err * err)).alias("rmse"),
             F.avg(err).alias("bias"),
-            (1 - F.try_divide(F.sum(err * err), F.count(F.lit(1)) * F.var_pop("y_true"))).alias("r2"),
+            (1 - F.try_divide(F.sum(err * err), n * F.var_pop(F.when(there, F.col("y_true"))))).alias("r2"),
             safe_corr("y_true", "y_pred").alias("pearson"),
         )
     )
