@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.ranks import average_rank, safe_corr
+from plumbline.sources.storage import materialise
 
 
 def assemble_block(keys: DataFrame, blocks: list[DataFrame], key: str) -> DataFrame:
@@ -110,6 +111,7 @@ def recoverability(df: DataFrame, cols: list[str], target: str, folds: int, leas
     such a column, the scores are null and no column counts. Rows that lack a predictor stand at its mean in the linear model and are left out by the trees.
     """
     df = df.where(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")))
+    df = materialise(df, "recoverability-rows")  # read for the ranks and by each model and tree
     seen = df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(f"v_{c}") for c in cols]).first()
     cols = [c for c in cols if seen[f"v_{c}"]]
     if seen["n"] < least or not cols:
@@ -117,6 +119,7 @@ def recoverability(df: DataFrame, cols: list[str], target: str, folds: int, leas
     ranked = df
     for c in cols:
         ranked = rank_z(ranked, [], c, f"z_{c}", 8).drop("rank_share")
+    ranked = materialise(ranked, "recoverability-ranks")
     r2 = lambda d: d.agg((1 - F.sum((F.col("prediction") - F.col(target)) ** 2) / (F.count(F.lit(1)) * F.var_pop(target))).alias("r2"))
     both = r2(fold_regressor(ranked, [f"z_{c}" for c in cols], target, folds, "ridge", reg=0.0)).select(F.col("r2").alias("linear")).crossJoin(r2(fold_regressor(df, cols, target, folds, "gbt")).select(F.col("r2").alias("trees")))
     counts = [F.lit(target).alias("target"), F.lit(seen["n"]).cast("long").alias("n"), F.lit(len(cols)).alias("n_pred")]

@@ -20,7 +20,7 @@ COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 def _block(spark, d):
     g = T(spark, d, "lineitem").groupBy("l_partkey").agg(*[F.avg(c).alias(c) for c in COLS])
-    return g.join(T(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), "l_partkey")
+    return g.join(T(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice").hint("merge"), "l_partkey")  # part grows with the table, so it isn't sent through the driver
 
 
 _B = "b as (select l_partkey, " + ", ".join(f"avg({c}) as {c}" for c in COLS) + ", any_value(p_size)::double as p_size, any_value(p_retailprice) as p_retailprice from lineitem join part on l_partkey = p_partkey group by l_partkey)"
@@ -83,7 +83,7 @@ def pca_pipeline(spark, d):
 
 @query(twin("select endpoint, repeat_id, k as fold, round(avg(y_true), 6) + 0.0 as mean, round(median(y_true), 6) + 0.0 as median from lm join f using (unit_id) cross join (select cast(unnest(range(5)) as integer) as k) where k <> fold group by 1, 2, 3", "lm", "f"))
 def naive_baseline(spark, d):
-    j = X.multi_labels(spark, d).join(X.folds(spark, d), "unit_id")
+    j = X.in_folds(X.multi_labels(spark, d).where("unit_id is not null"))
     return tidy(K.naive_baseline(j, ["endpoint", "repeat_id"], "y_true"), "endpoint repeat_id fold", "", "mean median")
 
 
