@@ -29,6 +29,8 @@ AROUND = 4
 BIN = 64
 #: Shingles whose windows are built together; a longer document goes alone.
 CHUNK = 200_000
+#: Cells of a table of starts and places that the exact search fills at a time.
+CELLS = 1 << 20
 _SEEDS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(HASHES))
 
 
@@ -166,15 +168,18 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def _dense(a: np.ndarray, b: np.ndarray, shared: np.ndarray, least: int) -> bool:
-    """Whether some ``least`` or more shingles of b can be similar to some of a: four in five must be shared.
+def _dense(before: np.ndarray, shared: np.ndarray, least: int) -> bool:
+    """Whether some ``least`` or more shingles of a text can be similar to some of another: four in five must be shared.
 
-    Where b repeats shingles this says nothing, as a set may be similar while most places aren't shared.
+    Where the text repeats shingles this says nothing, as a set may be similar while most places aren't shared.
     """
-    if len(b) < least:
+    if len(shared) < least:
         return False
-    sums = np.concatenate([[0], np.cumsum(np.where(shared, 1, -4))])
-    return bool((sums[least:] >= np.minimum.accumulate(sums[: len(b) - least + 1])).any()) or len(np.unique(b)) < len(b)
+    if (before >= 0).any():
+        return True
+    sums = np.zeros(len(shared) + 1, np.int64)
+    np.where(shared, 1, -4).cumsum(out=sums[1:])
+    return bool((sums[least:] >= np.minimum.accumulate(sums[: len(shared) - least + 1])).any())
 
 
 def matching_passages(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
@@ -191,14 +196,15 @@ def matching_passages(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[in
         out.extend((x, y, s, e) for x, y in found)
         return bool(found)
 
-    shared = np.isin(b, a)
-    if not _dense(a, b, shared, least):
+    pair = _Pair(a, b)
+    shared = pair.shared()
+    if not _dense(pair.before_b, shared, least):
         return []
     for s, e in _best(shared, 0, len(b), least, 8):
         if not add(s, e, 8):
             for x, y in _best(shared, s, e, least, len(b)):
                 add(x, y, len(a))
-    return out + _bridged(a, b, least, out)
+    return out + _bridged(pair, least, out)
 
 
 def _repeats(sorted_values: np.ndarray) -> bool:
@@ -240,15 +246,20 @@ def chained_passages(a: np.ndarray, b: np.ndarray, least: int, ca: np.ndarray, c
     bs = np.flatnonzero(hit & ~np.append(False, goes_on))
     be = np.flatnonzero(hit & ~np.append(goes_on, False)) + 1
     xs, xe = at[bs], at[be - 1] + 1
-    total = np.append(0, np.cumsum(be - bs))
-    turns = np.append(0, np.cumsum(xs[1:] < xe[:-1]))
     n = len(bs)
+    total, turns = np.zeros(n + 1, np.int64), np.zeros(max(n, 1), np.int64)
+    (be - bs).cumsum(out=total[1:])
+    (xs[1:] < xe[:-1]).cumsum(out=turns[1:])
     last = np.full(n, -1)
-    for w in range(min(n, CHAIN)):
-        p = np.arange(n - w)
-        both, la, lb = total[p + w + 1] - total[p], xe[p + w] - xs[p], be[p + w] - bs[p]
-        good = (turns[p + w] == turns[p]) & (la >= least) & (lb >= least) & (both >= SIMILARITY * (la + lb - both))
-        last[p[good]] = w + p[good]
+    for k in range(0, n, CHAIN):  # from each of CHAIN runs to each of the CHAIN runs that start with it
+        p, q = slice(k, k + CHAIN), slice(k, k + 2 * CHAIN)
+        la, lb = xe[q] - xs[p, None], be[q] - bs[p, None]
+        both = total[1:][q] - total[:-1][p, None]
+        good = (la >= least) & (lb >= least) & (both >= SIMILARITY * (la + lb - both)) & (turns[q] == turns[p, None])
+        if n > CHAIN:
+            ahead = np.arange(good.shape[1]) - np.arange(len(good))[:, None]
+            good &= (ahead >= 0) & (ahead < CHAIN)
+        last[p] = np.where(good.any(axis=1), k + good.shape[1] - 1 - good[:, ::-1].argmax(axis=1), -1)
     out, reach = [], -1
     for p in np.flatnonzero(last >= 0).tolist():
         if last[p] > reach:
@@ -261,6 +272,34 @@ def chained_passages(a: np.ndarray, b: np.ndarray, least: int, ca: np.ndarray, c
     return out + _around(a, b, least, sorted(set(zip(ca.tolist(), cb.tolist()))), out)
 
 
+class _Pair:
+    """Two documents' shingles as small numbers, with what the exact search asks of every neighbourhood: found once, cut for each."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        values, numbers = np.unique(np.concatenate([a, b]), return_inverse=True)
+        self.a, self.b = numbers[: len(a)], numbers[len(a) :]
+        self.before_a, self.before_b = _earlier(self.a), _earlier(self.b)
+        self.mark = np.zeros(len(values), bool)  # all False between calls
+
+    def cut(self, x: int, y: int, s: int, e: int) -> _Pair:
+        part = object.__new__(_Pair)
+        part.a, part.b, part.mark = self.a[x:y], self.b[s:e], self.mark
+        part.before_a, part.before_b = self.before_a[x:y] - x, self.before_b[s:e] - s  # below 0: not before within the part
+        return part
+
+    def turned(self) -> _Pair:
+        part = object.__new__(_Pair)
+        part.a, part.b, part.mark, part.before_a, part.before_b = self.b, self.a, self.mark, self.before_b, self.before_a
+        return part
+
+    def shared(self) -> np.ndarray:
+        """Which places of b hold a shingle of a."""
+        self.mark[self.a] = True
+        out = self.mark[self.b]
+        self.mark[self.a] = False
+        return out
+
+
 def _around(a: np.ndarray, b: np.ndarray, least: int, places: list[tuple[int, int]], found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Similar passages around the places that none of ``found`` holds, by the exact search in a neighbourhood of each.
 
@@ -270,6 +309,7 @@ def _around(a: np.ndarray, b: np.ndarray, least: int, places: list[tuple[int, in
     out: list[tuple[int, int, int, int]] = []
     searched: dict[tuple[int, int], tuple[int, int]] = {}  # at most one place a cell of the size of a shortest passage
     todo = places[::-1]
+    pair = None
     while todo:
         i, k = todo.pop()
         cells = [(i // least + u, k // least + v) for u in (-1, 0, 1) for v in (-1, 0, 1)]
@@ -279,7 +319,8 @@ def _around(a: np.ndarray, b: np.ndarray, least: int, places: list[tuple[int, in
         searched[i // least, k // least] = i, k
         x, s = max(0, i - AROUND * least), max(0, k - AROUND * least)
         y, e = min(len(a), i + AROUND * least), min(len(b), k + AROUND * least)
-        for c, d, f, g in _bridged(a[x:y], b[s:e], least, []):
+        pair = pair or _Pair(a, b)
+        for c, d, f, g in _bridged(pair.cut(x, y, s, e), least, []):
             hit = x + c, x + d, s + f, s + g
             out.append(hit)
             if (hit[1] == y or hit[3] == e) and hit[1] < len(a) and hit[3] < len(b):
@@ -289,17 +330,20 @@ def _around(a: np.ndarray, b: np.ndarray, least: int, places: list[tuple[int, in
     return out
 
 
-def _bridged(a: np.ndarray, b: np.ndarray, least: int, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+def _bridged(pair: _Pair, least: int, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Similar passages beyond ``found``, by exact comparison between the ends of shared runs of both sides."""
-    in_b, in_a = np.isin(b, a), np.isin(a, b)
-    if not _dense(a, b, in_b, least) or not _dense(b, a, in_a, least):
+    turned = pair.turned()
+    in_b, in_a = pair.shared(), turned.shared()
+    if not _dense(pair.before_b, in_b, least) or not _dense(pair.before_a, in_a, least):
         return []
-    out = [(x, y, s, e) for s, e, x, y in _edited(a, b, in_b, least, [m[2:] for m in found])]
-    return out + _edited(b, a, in_a, least, [m[:2] for m in [*found, *out]])
+    out = [(x, y, s, e) for s, e, x, y in _edited(pair, in_b, least, [m[2:] for m in found])]
+    return out + _edited(turned, in_a, least, [m[:2] for m in [*found, *out]])
 
 
 def _runs(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    step = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
+    edge = np.zeros(len(shared) + 2, bool)
+    edge[1:-1] = shared
+    step = (edge[1:] != edge[:-1]).nonzero()[0]
     return step[::2], step[1::2]
 
 
@@ -312,53 +356,66 @@ def _earlier(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _edited(a: np.ndarray, b: np.ndarray, shared: np.ndarray, least: int, found: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+def _distinct(before: np.ndarray, shared: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles from each start to each end (a row a start), and those of them that are shared."""
+    both = np.zeros(len(shared) + 1, np.int64)
+    shared.cumsum(out=both[1:])
+    if (before < starts[0]).all():  # none repeats
+        return ends - starts[:, None], both[ends] - both[starts][:, None]
+    size = np.empty((2, len(starts), len(ends)), np.int64)
+    rows = max(1, CELLS // len(shared))
+    for k in range(0, len(starts), rows):
+        s = starts[k : k + rows, None]
+        new = (before < s) & (np.arange(len(shared)) >= s)
+        size[0, k : k + rows] = new.cumsum(axis=1, dtype=np.int32)[:, ends - 1]
+        size[1, k : k + rows] = (new & shared).cumsum(axis=1, dtype=np.int32)[:, ends - 1]
+    return size[0], size[1]
+
+
+def _edited(pair: _Pair, shared: np.ndarray, least: int, found: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """``(b start, b end, a start, a end)`` of similar passages whose part in b isn't within one of ``found``.
 
     From each start of a shared run, the ends of runs are tried from the farthest that leaves enough shingles shared.
     Distinct shingles are counted, so the similarity is exact.
     """
-    covered = np.zeros(len(b), bool)
+    open_ = shared.copy()
     for s, e in found:
-        covered[s:e] = True
-    if not (shared & ~covered).any():
+        open_[s:e] = False
+    if not open_.any():
         return []
     out, known = [], list(found)
     starts, ends = _runs(shared)
-    before_b, before_a = _earlier(b), _earlier(a)
-    for s in starts.tolist():
-        far = ends[ends - s >= least]
-        if not len(far):
-            break
-        new = before_b[s:] < s
-        size, both = np.cumsum(new)[far - s - 1], np.cumsum(new & shared[s:])[far - s - 1]
-        for e in far[both >= SIMILARITY * size][::-1].tolist():
+    size, both = _distinct(pair.before_b, shared, starts, ends)
+    good = (ends - starts[:, None] >= least) & (both >= SIMILARITY * size)
+    for k in good.any(axis=1).nonzero()[0].tolist():
+        s = int(starts[k])
+        for e in ends[good[k]][::-1].tolist():
             if any(x <= s and e <= y for x, y in known):
                 break
-            if hit := _partner(a, before_a, b[s:e], least):
+            if hit := _partner(pair, s, e, least):
                 out.append((s, e, *hit))
                 known.append((s, e))
                 break
     return out
 
 
-def _partner(a: np.ndarray, before: np.ndarray, passage: np.ndarray, least: int) -> tuple[int, int] | None:
-    """The passage of a that is most similar to ``passage``, if it is similar enough."""
-    inside = np.isin(a, passage)
+def _partner(pair: _Pair, s: int, e: int, least: int) -> tuple[int, int] | None:
+    """The passage of a that is most similar to b's from s to e, if it is similar enough."""
+    passage = pair.b[s:e]
+    pair.mark[passage] = True
+    inside = pair.mark[pair.a]
+    pair.mark[passage] = False
     starts, ends = _runs(inside)
-    n = len(np.unique(passage))
-    best, at = 0.0, None
-    for s in starts.tolist():
-        far = ends[ends - s >= least]
-        if not len(far):
-            break
-        new = before[s:] < s
-        size, both = np.cumsum(new)[far - s - 1], np.cumsum(new & inside[s:])[far - s - 1]
-        alike = both / (size + n - both)
-        k = int(alike.argmax())
-        if alike[k] > best and both[k] >= SIMILARITY * (size[k] + n - both[k]):
-            best, at = alike[k], (s, int(far[k]))
-    return at
+    if not len(starts) or ends[-1] - starts[0] < least:
+        return None
+    n = int((pair.before_b[s:e] < s).sum())
+    size, both = _distinct(pair.before_a, inside, starts, ends)
+    union = size + n - both
+    good = (ends - starts[:, None] >= least) & (both >= SIMILARITY * union)
+    if not good.any():
+        return None
+    k, m = divmod(int(np.where(good, both / np.maximum(union, 1), 0).argmax()), len(ends))
+    return int(starts[k]), int(ends[m])
 
 
 _MATCHES = "a long, b long, bl int, br int, spans array<int>, key array<long>, c array<int>, open array<boolean>"
