@@ -231,12 +231,6 @@ def offset_sweep(spark, d):
     return tidy(_offsets(spark, d), "arm endpoint offset", "", "st_rae r2")
 
 
-@query(twin(_sw(OFFSETS, [1.0]) + ', q as (select arm, endpoint, "offset" as o, round(st_rae, 6) as s, round(r2, 6) as r from sw) select arm, endpoint, arg_min(o, struct_pack(s := s, o := o)) as by_st_rae, arg_min(o, struct_pack(r := -r, o := o)) as by_r2 from q group by 1, 2', "p"))
-def offset_opt(spark, d):
-    q = tidy(_offsets(spark, d), "arm endpoint offset", "", "st_rae r2")
-    return q.groupBy(*AE).agg(F.min_by("offset", F.struct("st_rae", "offset")).alias("by_st_rae"), F.min_by("offset", F.struct((-F.col("r2")).alias("m"), "offset")).alias("by_r2"))
-
-
 CURVE = (-2.0, 2.0, 401)
 _CURVE = [round(-2 + 0.01 * k, 2) for k in range(401)]
 _Z = """, z as (select arm, endpoint, conf_high - y_pred as z from p union all select arm, endpoint, conf_low - y_pred from p), o as (select *, row_number() over (partition by arm, endpoint order by z) as k, count(*) over (partition by arm, endpoint) as m from z),
@@ -256,6 +250,13 @@ def offset_optimum(spark, d):
     return tidy(best, "arm endpoint", "", "low high gain gap st_rae raw r2")
 
 
+@query(twin(_Z + f" select arm, endpoint, round(low, 6) + 0.0 as by_st_rae, round(gain, 6) + 0.0 as by_r2 from mid join g using (arm, endpoint)", "p"))
+def offset_opt(spark, d):
+    """The best offset of all by ST-RAE (of several the smallest) and by R2: no grid."""
+    best = O.offset_optimum(X.predictions(spark, d), AE)
+    return tidy(best.select(*AE, F.col("low").alias("by_st_rae"), F.col("r2_offset").alias("by_r2")), "arm endpoint", "", "by_st_rae by_r2")
+
+
 _RHO = f"""rho as (select arm, endpoint, {corr_sql('y_true', 'y_pred')} as rho from p group by 1, 2), q as (select *, round(st_rae, 9) as st from sw join rho using (arm, endpoint)),
 e as (select arm, endpoint, rho, arg_min(scale, struct_pack(a := st, b := scale)) as best_scale, min(st_rae) as best, max(scale) filter (where scale <= rho) as x0, max(scale) as top, min(scale) as low, min(scale) filter (where scale >= rho) as x1 from q group by 1, 2, 3),
 v as (select e.*, a.st_rae + coalesce((rho - x0) / nullif(x1 - x0, 0), 0) * (b.st_rae - a.st_rae) as at_rho from e left join sw a on a.arm = e.arm and a.endpoint = e.endpoint and a.scale = x0 left join sw b on b.arm = e.arm and b.endpoint = e.endpoint and b.scale = x1)"""
