@@ -65,10 +65,16 @@ def rank_z(df: DataFrame, keys: list[str], col: str, out: str = "z", buckets: in
 
 
 def impute_scale(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Missing values by the column's median, then mean zero and sd one (ddof 1)."""
-    med = df.agg(*[F.median(c).alias(f"_{c}") for c in cols])
-    filled = df.crossJoin(med).select(key, *[F.coalesce(F.col(c), F.col(f"_{c}")).cast("double").alias(c) for c in cols])
-    st = filled.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))])
+    """Missing values by the column's median, then mean zero and sd one (ddof 1).
+
+    The rows are written once; only columns that have gaps need a median, whose values one task sorts.
+    """
+    df = materialise(df.select(key, *cols), "impute-rows")  # read for the medians, the scales and by each pass over the result
+    gaps = df.agg(*[F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(c) for c in cols]).first()
+    lack = [c for c in cols if gaps[c]]
+    whole = df.crossJoin(materialise(df.agg(*[F.median(c).alias(f"_{c}") for c in lack]), "medians")) if lack else df
+    filled = whole.select(key, *[(F.coalesce(F.col(c), F.col(f"_{c}")) if c in lack else F.col(c)).cast("double").alias(c) for c in cols])
+    st = materialise(filled.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]), "scales")
     return filled.crossJoin(st).select(key, *[F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)).alias(c) for c in cols])
 
 
